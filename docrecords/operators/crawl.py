@@ -21,6 +21,8 @@ from docrecords.functions.urls import (
 from docrecords.operators.prefix import running_sum
 from docrecords.spec import Spec
 
+BROADCAST_BYTES = 32 << 20
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only a local session may fall back to a temporary one."""
@@ -103,19 +105,22 @@ def reachable(links: DataFrame, start: DataFrame, max_hops: int | None = None) -
     """Nodes reachable from ``start(node)`` over ``links(src, dst)``, with their distance.
 
     Semi-naive rounds: only the newest nodes are joined with the links. Every round is checkpointed, which keeps the
-    plan flat and lets a lost executor's part be read again. The number of rounds is the depth of the graph.
+    plan flat and lets a lost executor's part be read again. The number of rounds is the depth of the graph. The newest
+    nodes are broadcast only when their measured size is small, so the links are then not shuffled at all.
     """
     checkpoint_dir(links.sparkSession)
     frontier = start.select("node").distinct().withColumn("hops", F.lit(0)).checkpoint()
     seen = frontier
     hops = 0
     while max_hops is None or hops < max_hops:
+        size = frontier.agg(F.coalesce(F.sum(F.length(F.col("node").cast("string")) + 40), F.lit(0))).first()[0]
+        if size == 0:
+            break
         hops += 1
-        found = links.join(frontier.select(F.col("node").alias("src")), "src", "left_semi")
+        newest = frontier.select(F.col("node").alias("src"))
+        found = links.join(F.broadcast(newest) if size < BROADCAST_BYTES else newest, "src", "left_semi")
         found = found.select(F.col("dst").alias("node")).distinct()
         frontier = found.join(seen, "node", "left_anti").withColumn("hops", F.lit(hops)).checkpoint()
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier).checkpoint() if hops % 8 == 0 else seen.unionByName(frontier)
     return seen
 

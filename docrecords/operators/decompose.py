@@ -70,7 +70,7 @@ ENDS = {
     **{tag: ({"tbody", "thead", "tfoot", "tr", "caption"}, {"table"}) for tag in ("tbody", "thead", "tfoot")},
 }
 # an end tag does not reach across an open element of higher rank
-RANK = {"p": 1, "div": 2, "td": 3, "th": 3, "tr": 4, "tbody": 5, "thead": 5, "tfoot": 5, "table": 6, "body": 7}
+RANK = {"div": 1, "td": 2, "th": 2, "tr": 3, "tbody": 4, "thead": 4, "tfoot": 4, "table": 5, "body": 6}
 
 TOKEN = re.compile(
     r"<(script|style)\b([^>]*)>(.*?)(?:</\1[^>]*>|\Z)"

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrecords.functions.text import json_text
+from docrecords.functions.text import json_text, let
 from docrecords.operators.prefix import running_last, running_sum
 from docrecords.spec import CONTENT, LEVELS
 
@@ -99,12 +99,6 @@ def radio_levels(deepest: Column, lvl: Column) -> dict[str, Column]:
     return {f"radio_{name}": F.when(keep & (deepest == k), F.col(name)) for k, name in enumerate(LEVELS)}
 
 
-def hierarchy_json(values: Mapping[str, Column]) -> Column:
-    """``"lvl0": .., "lvl1": ..`` with null levels left out."""
-    pairs = [F.when(v.isNotNull(), F.concat(F.lit(f'"{name}": '), json_text(v))) for name, v in values.items()]
-    return F.concat_ws(", ", *pairs)
-
-
 def attrs_json(attrs: Column) -> Column:
     """JSON object of an attribute map, keys sorted."""
     pairs = F.transform(
@@ -113,16 +107,32 @@ def attrs_json(attrs: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
 
 
-def object_id(levels_json: Column, position: Column, url: Column) -> Column:
-    """Record id: SHA-1 over the JSON of hierarchy, position and URL."""
-    return F.sha1(
-        F.concat(
-            F.lit('{"hierarchy_to_hash": {'),
-            levels_json,
-            F.lit('}, "position": '),
-            position.cast("string"),
-            F.lit(', "url": '),
-            json_text(url),
-            F.lit("}"),
+def object_id(
+    levels: Mapping[str, Column], position: Column, url: Column, attrs: Mapping[str, Column] | None = None
+) -> Column:
+    """Record id: SHA-1 over the JSON of hierarchy (null levels left out), position and URL.
+
+    ``attrs`` gives, per level, the attribute map that stands in for its text when not null.
+    """
+
+    def digest(texts: Column) -> Column:
+        pairs = []
+        for k, (name, value) in enumerate(levels.items()):
+            pair = F.when(value.isNotNull(), F.concat(F.lit(f'"{name}": '), F.get(texts, F.lit(k))))
+            if attrs:
+                inner = F.concat(F.lit(f'"{name}": '), attrs_json(attrs[name]))
+                pair = F.when(attrs[name].isNotNull(), inner).otherwise(pair)
+            pairs.append(pair)
+        return F.sha1(
+            F.concat(
+                F.lit('{"hierarchy_to_hash": {'),
+                F.concat_ws(", ", *pairs),
+                F.lit('}, "position": '),
+                position.cast("string"),
+                F.lit(', "url": '),
+                F.get(texts, F.lit(len(levels))),
+                F.lit("}"),
+            )
         )
-    )
+
+    return let(F.transform(F.array(*levels.values(), url), json_text), digest)

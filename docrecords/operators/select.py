@@ -140,10 +140,10 @@ def level_matches(
         marked = F.transform(nodes, lambda n: F.struct(n.nid.alias("nid"), level_of(n).alias("lvl")))
         found = F.filter(marked, lambda m: m.lvl.isNotNull())
     else:
-        hits = [
-            F.transform(select_nids(sel), lambda i, lvl=lvl: F.struct(i.alias("nid"), F.lit(lvl).alias("lvl")))
-            for lvl, _, sel in levels
-        ]
+        def at_level(lvl: int):
+            return lambda nid: F.struct(nid.alias("nid"), F.lit(lvl).alias("lvl"))
+
+        hits = [F.transform(select_nids(sel), at_level(lvl)) for lvl, _, sel in levels]
         found = let(
             F.array_sort(F.concat(*hits)),
             lambda all_hits: F.filter(

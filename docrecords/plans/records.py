@@ -170,16 +170,8 @@ def shape_records(rows: DataFrame, spec: Spec, filled: bool = False) -> DataFram
         *(["level_attrs"] if with_attrs else []),
     )
     level = {name: F.col("hierarchy")[name] for name in LEVELS}
-    if with_attrs:
-        pairs = [
-            F.when(has_attrs(k), F.concat(F.lit(f'"{name}": '), H.attrs_json(F.col("level_attrs")[name])))
-            .when(level[name].isNotNull(), H.hierarchy_json({name: level[name]}))
-            for k, name in enumerate(LEVELS)
-        ]
-        levels_json = F.concat_ws(", ", *pairs)
-    else:
-        levels_json = H.hierarchy_json(level)
-    return out.withColumn("objectID", H.object_id(levels_json, F.col("weight.position"), F.col("url")))
+    attrs = {name: F.col("level_attrs")[name] for name in LEVELS} if with_attrs else None
+    return out.withColumn("objectID", H.object_id(level, F.col("weight.position"), F.col("url"), attrs))
 
 
 def _default(group: SelectorSet, name: str) -> Column:
