@@ -18,7 +18,7 @@ from docrecords.functions.urls import (
     other_scheme,
     redirect_ok,
 )
-from docrecords.operators.prefix import running_sum
+from docrecords.operators.prefix import running
 from docrecords.spec import Spec
 
 BROADCAST_BYTES = 32 << 20
@@ -188,15 +188,9 @@ def cap_pages(per_page: DataFrame, cap: int, order: str = "page_id", chunk: int
     ``per_page(order, from_sitemap, records)``. The page that crosses the cap is kept, later ones are not; 0 means no
     cap. The running count goes over chunks of ``order``, so no task sees all pages.
     """
-    by_flag = per_page.groupBy("from_sitemap").agg(F.sum("records").alias("_flag_total"))
-    running = running_sum(per_page, ["from_sitemap"], order, F.col("records"), "before", chunk)
-    ahead = by_flag.filter("from_sitemap").agg(F.coalesce(F.sum("_flag_total"), F.lit(0)).alias("_ahead"))
-    # one row with one number
-    running = running.join(F.broadcast(ahead))
-    running = running.withColumn(
-        "before", F.when(F.col("from_sitemap"), F.col("before")).otherwise(F.col("before") + F.col("_ahead"))
-    ).drop("_ahead")
-    return running.filter(F.col("before") <= cap) if cap > 0 else running
+    late = (~F.col("from_sitemap")).cast("int")
+    counted = running(per_page, [], order, sums={"before": F.col("records")}, chunk=chunk, major=[late])
+    return counted.filter(F.col("before") <= cap) if cap > 0 else counted
 
 
 def cap_records(records: DataFrame, per_page: DataFrame, cap: int, key: str = "page_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrecords.functions.text import json_text, let
-from docrecords.operators.prefix import running_last, running_sum
+from docrecords.operators.prefix import running
 from docrecords.spec import CONTENT, LEVELS
 
 MAX_LEVEL = len(LEVELS)
@@ -22,21 +22,29 @@ def add_position(
     df: DataFrame, keys: Sequence[str], order: str, name: str = "position", chunk: int | None = None
 ) -> DataFrame:
     """0-based index among all matches of the group."""
-    df = running_sum(df, keys, order, F.lit(1), name, chunk)
+    df = running(df, keys, order, sums={name: F.lit(1)}, chunk=chunk)
     return df.withColumn(name, F.col(name).cast("int"))
 
 
 def fill_down(
-    df: DataFrame, keys: Sequence[str], order: str, chunk: int | None = None, attrs: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    chunk: int | None = None,
+    attrs: bool = False,
+    position: str | None = None,
 ) -> DataFrame:
     """Carry headings down: adds ``lvl0..lvl6`` and the record ``anchor`` (deepest level first).
 
+    With ``position`` the rows are numbered in the same pass, see :func:`add_position`.
+
     A heading sets its level and clears the deeper ones, also when its text is null. For level k the latest heading at
     k or above decides: the level is filled only if that heading is at k itself.
     """
     kept = ["lvl", "text", "anchor"] + (["attrs"] if attrs else [])
     states = {f"_s{k}": F.when(F.col("lvl") <= k, F.struct(*kept)) for k in range(MAX_LEVEL)}
-    df = running_last(df, keys, order, states, chunk)
+    numbers = {position: F.lit(1)} if position else {}
+    df = running(df, keys, order, sums=numbers, lasts=states, chunk=chunk)
 
     def held(k: int, part: str) -> Column:
         state = F.col(f"_s{k}")
@@ -49,6 +57,8 @@ def fill_down(
             F.create_map(*[c for k, name in enumerate(LEVELS) for c in (F.lit(name), held(k, "attrs"))]),
             lambda _, v: v.isNotNull(),
         )
+    if position:
+        out[position] = F.col(position).cast("int")
     return df.withColumns(out).drop(*states)
 
 

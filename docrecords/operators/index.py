@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrecords.functions.text import flag_text, restore_apostrophes
-from docrecords.operators.prefix import running_sum
+from docrecords.operators.prefix import running
 from docrecords.spec import LEVELS
 
 BATCH = 50
@@ -68,8 +68,8 @@ def add_batches(
     docs: DataFrame, keys: Sequence[str], order: str, size: int = BATCH, chunk: int | None = None
 ) -> DataFrame:
     """1-based number of the emission batch within the page."""
-    docs = running_sum(docs, keys, order, F.lit(1), "_nth", chunk)
-    return docs.withColumn("batch", (F.floor(F.col("_nth") / size) + 1).cast("int")).drop("_nth")
+    docs = running(docs, keys, order, sums={"_sent": F.lit(1)}, chunk=chunk)
+    return docs.withColumn("batch", (F.floor(F.col("_sent") / size) + 1).cast("int")).drop("_sent")
 
 
 def send_batches(docs: DataFrame, send: Callable[[list[dict]], None], size: int = BATCH) -> None:

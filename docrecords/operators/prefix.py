@@ -1,7 +1,9 @@
 """Running values over long ordered groups without holding a group in one task.
 
-A group is cut into chunks of its order column; each chunk is a window of its own, one small row per chunk carries the
-state onward, and the two are joined. ``chunk`` bounds the rows of a task when the order column is unique per group.
+With ``chunk`` set, a group is cut into chunks of its order column. Every chunk is a window of its own, one small row per
+chunk carries the state onward, and the two are joined on the chunk. When the order column holds distinct integers within
+a group, a chunk has at most ``chunk`` rows, however large the group is. Without ``chunk`` a group is one window, which
+is right for groups that are bounded by nature, such as the nodes of a page.
 """
 
 from __future__ import annotations
@@ -11,60 +13,65 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = "_chunk"
+_CUT = "_cut"
+BEFORE = (Window.unboundedPreceding, -1)
+UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
 
-def chunk_of(order: str, chunk: int) -> Column:
-    return F.floor(F.col(order) / F.lit(chunk)).cast("long")
-
-
-def running_sum(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, chunk: int | None = None
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    *,
+    sums: Mapping[str, Column] | None = None,
+    lasts: Mapping[str, Column] | None = None,
+    chunk: int | None = None,
+    major: Sequence[Column] = (),
 ) -> DataFrame:
-    """Add the sum of ``value`` over all earlier rows of the group, as a long."""
-    value = value.cast("long")
-    before = (Window.unboundedPreceding, -1)
+    """Add running columns per group.
+
+    ``sums``: sum over all earlier rows, as a long. ``lasts``: latest non-null value up to and including the row.
+    ``major`` columns come before ``order`` in the ordering; they should take few values.
+    """
+    sums = {k: v.cast("long") for k, v in (sums or {}).items()}
+    lasts = dict(lasts or {})
     if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(*before)
-        return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0).cast("long")))
-    df = df.withColumn(CHUNK, chunk_of(order, chunk))
-    cut = [*keys, CHUNK]
-    totals = df.groupBy(*cut).agg(F.sum(value).alias("_total"))
-    w = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*before)
-    carried = totals.select(*cut, F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_carry"))
-    inner = Window.partitionBy(*cut).orderBy(order).rowsBetween(*before)
-    local = df.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    out = _join_carry(local, carried, cut)
-    return out.withColumn(name, (F.col("_carry") + F.col("_local")).cast("long")).drop("_carry", "_local", CHUNK)
+        # the window would build all its inputs before the shuffle; shuffled first, every text travels once
+        w = Window.partitionBy(*keys).orderBy(*major, order)
+        return df.repartition(*keys).withColumns(_over(w, sums, lasts))
 
+    majors = [m.alias(f"_major{i}") for i, m in enumerate(major)]
+    # one struct as the key of a chunk, so that null keys form a group too
+    cut = F.struct(*keys, *majors, F.floor(F.col(order) / F.lit(chunk)).cast("long").alias("_nth"))
+    df = df.withColumn(_CUT, cut)
+    local = df.repartition(_CUT).withColumns(
+        {f"_local_{k}": v for k, v in _over(Window.partitionBy(_CUT).orderBy(order), sums, lasts).items()}
+    )
 
-def running_last(
-    df: DataFrame, keys: Sequence[str], order: str, states: Mapping[str, Column], chunk: int | None = None
-) -> DataFrame:
-    """Add, per named state, its latest non-null value up to and including the row."""
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    if chunk is None:
-        # the window would build all states before its shuffle; shuffled first, every text travels once
-        df = df.repartition(*keys)
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
-        return df.withColumns({k: F.last(v, ignorenulls=True).over(w) for k, v in states.items()})
-    df = df.withColumn(CHUNK, chunk_of(order, chunk))
-    cut = [*keys, CHUNK]
-    # max_by over the rows that set the state is combined map-side
-    ends = df.groupBy(*cut).agg(
-        *[F.max_by(v, F.when(v.isNotNull(), F.col(order))).alias(f"_end_{k}") for k, v in states.items()]
+    # state at the end of every chunk: combined map-side, one row per chunk
+    totals = [F.sum(v).alias(k) for k, v in sums.items()]
+    ends = [F.max_by(v, F.when(v.isNotNull(), F.col(order))).alias(k) for k, v in lasts.items()]
+    state = df.groupBy(_CUT).agg(*totals, *ends)
+    by_chunk = Window.partitionBy(*[f"{_CUT}.{k}" for k in keys]).orderBy(
+        *[f"{_CUT}._major{i}" for i in range(len(majors))], f"{_CUT}._nth"
+    )
+    carried = state.select(
+        F.col(_CUT).alias("_of"),
+        *[F.sum(k).over(by_chunk.rowsBetween(*BEFORE)).alias(f"_carry_{k}") for k in sums],
+        *[F.last(k, ignorenulls=True).over(by_chunk.rowsBetween(*BEFORE)).alias(f"_carry_{k}") for k in lasts],
     )
-    w = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*cut, *[F.last(f"_end_{k}", ignorenulls=True).over(w).alias(f"_carry_{k}") for k in states])
-    inner = Window.partitionBy(*cut).orderBy(order).rowsBetween(*upto)
-    local = df.repartition(*cut).withColumns({f"_local_{k}": F.last(v, ignorenulls=True).over(inner) for k, v in states.items()})
-    out = _join_carry(local, carried, cut)
-    out = out.withColumns({k: F.coalesce(f"_local_{k}", f"_carry_{k}") for k in states})
-    return out.drop(CHUNK, *[f"_local_{k}" for k in states], *[f"_carry_{k}" for k in states])
+    zero = F.lit(0).cast("long")
+    out = local.join(carried, F.col(_CUT) == F.col("_of"), "left").withColumns(
+        {k: F.coalesce(F.col(f"_carry_{k}"), zero) + F.col(f"_local_{k}") for k in sums}
+        | {k: F.coalesce(f"_local_{k}", f"_carry_{k}") for k in lasts}
+    )
+    names = [*sums, *lasts]
+    return out.drop(_CUT, "_of", *[f"_local_{k}" for k in names], *[f"_carry_{k}" for k in names])
+
 
+def _over(w, sums: Mapping[str, Column], lasts: Mapping[str, Column]) -> dict[str, Column]:
+    zero = F.lit(0).cast("long")
+    return {k: F.coalesce(F.sum(v).over(w.rowsBetween(*BEFORE)), zero) for k, v in sums.items()} | {
+        k: F.last(v, ignorenulls=True).over(w.rowsBetween(*UP_TO)) for k, v in lasts.items()
+    }
 
-def _join_carry(local: DataFrame, carried: DataFrame, cut: Sequence[str]) -> DataFrame:
-    """Both sides are hashed on the same keys, so the large side is not shuffled again. Null keys are a group too."""
-    right = carried.select(*[F.col(c).alias(f"_r_{c}") for c in cut], *[c for c in carried.columns if c not in cut])
-    on = [local[c].eqNullSafe(right[f"_r_{c}"]) for c in cut]
-    return local.join(right, on, "left").drop(*[f"_r_{c}" for c in cut])

@@ -489,8 +489,7 @@ def filldown_conversations(spark, folder):
         T.clean_text(F.col("text"), ".,;:§¶").alias("text"),
         F.lit(None).cast("string").alias("anchor"),
     )
-    rows = H.add_position(rows, ["conv_id"], "turn", chunk=100_000)
-    rows = H.drop_empty_content(H.fill_down(rows, ["conv_id"], "turn", chunk=100_000))
+    rows = H.drop_empty_content(H.fill_down(rows, ["conv_id"], "turn", chunk=100_000, position="position"))
     return rows.select(
         "conv_id", "turn", "position", H.level_type(F.col("lvl")).alias("type"), "lvl0", "lvl1",
         F.when(F.col("lvl") == CONTENT, F.col("text")).alias("content"),
@@ -949,22 +948,17 @@ def page_set(spark, folder):
     return C.page_set(C.sitemap_pages(pages, spec), C.record_pages(pages, spec)).select("page_id", "url", "from_sitemap")
 
 
-_EDGES = """
-WITH RECURSIVE n AS (SELECT count(*) AS c FROM customer),
-edges AS (SELECT o_custkey AS src, (o_orderkey * 7 + o_custkey) % (SELECT c FROM n) AS dst FROM orders),
-"""
+_EDGES = "WITH RECURSIVE edges AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), "
 
 
 def _edges(spark, folder) -> DataFrame:
-    customers = S.table(spark, folder, "customer").agg(F.count(F.lit(1)).alias("c"))
-    # one row with one number
-    orders = S.table(spark, folder, "orders").join(F.broadcast(customers))
-    return orders.select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % F.col("c")).alias("dst"))
+    """Order lines as links from an order number to a part number; numbers below the part count lead on."""
+    return S.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
 @query(_EDGES + "reach AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.dst FROM reach r JOIN edges e ON e.src = r.node) SELECT node FROM reach")
 def reachable_nodes(spark, folder):
-    """Everything reachable from one start node over the order links."""
+    """Everything reachable from one start node over the links."""
     edges = _edges(spark, folder)
     start = edges.select(F.col("src").alias("node")).filter("node = 1")
     return C.reachable(edges, start).select("node")

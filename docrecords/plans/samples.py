@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrecords.operators import page_attrs as P
-from docrecords.operators.hierarchy import add_position, fill_down
+from docrecords.operators.hierarchy import fill_down
 from docrecords.operators.index import index_docs
 from docrecords.plans.records import build_records, shape_records
 from docrecords.sources.pages import read_pages
@@ -64,8 +64,7 @@ def event_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filled_events(spark: SparkSession, folder: str) -> DataFrame:
-    rows = add_position(event_matches(spark, folder), ["page_id"], "nid", chunk=EVENT_CHUNK)
-    return fill_down(rows, ["page_id"], "nid", chunk=EVENT_CHUNK)
+    return fill_down(event_matches(spark, folder), ["page_id"], "nid", chunk=EVENT_CHUNK, position="position")
 
 
 def event_records(spark: SparkSession, folder: str, spec: Spec, page_globals: Column | None = None) -> DataFrame:
