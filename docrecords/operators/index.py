@@ -33,7 +33,7 @@ def clean(docs: DataFrame) -> DataFrame:
     for name, kind in docs.dtypes:
         if kind == "boolean":
             out[name] = flag_text(F.col(name))
-        elif kind == "string":
+        elif kind == "string" and name != "objectID":
             out[name] = restore_apostrophes(F.col(name))
         elif kind == "map<string,string>":
             out[name] = F.transform_values(name, lambda _, v: restore_apostrophes(v))

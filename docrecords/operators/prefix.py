@@ -1,9 +1,10 @@
-"""Running values over long ordered groups without holding a group in one task.
+"""Running values over ordered groups of any size.
 
-With ``chunk`` set, a group is cut into chunks of its order column. Every chunk is a window of its own, one small row per
-chunk carries the state onward, and the two are joined on the chunk. When the order column holds distinct integers within
-a group, a chunk has at most ``chunk`` rows, however large the group is. Without ``chunk`` a group is one window, which
-is right for groups that are bounded by nature, such as the nodes of a page.
+A group normally is one window. Groups with more than ``chunk`` rows would pile up in one task, so they are looked for
+first (a count per group, combined map-side) and cut into chunks of their order column: every chunk is a window of its
+own, one small row per chunk carries the state onward, and the two are joined on the chunk. When the order column holds
+distinct integers within a group, a chunk has at most ``chunk`` rows. Without ``chunk`` nothing is counted, which is
+right for groups that are bounded by nature, such as the nodes of a page.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CUT = "_cut"
+_HOT = "_hot"
+MAX_HOT = 100_000
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -35,14 +38,24 @@ def running(
     """
     sums = {k: v.cast("long") for k, v in (sums or {}).items()}
     lasts = dict(lasts or {})
-    if chunk is None:
+    hot = [] if chunk is None else _hot_groups(df, keys, chunk)
+    if hot == []:
         # the window would build all its inputs before the shuffle; shuffled first, every text travels once
         w = Window.partitionBy(*keys).orderBy(*major, order)
         return df.repartition(*keys).withColumns(_over(w, sums, lasts))
 
+    nth = F.floor(F.col(order) / F.lit(chunk)).cast("long")
+    if hot is None:
+        df = df.withColumn(_HOT, F.lit(True))
+    else:
+        # at most MAX_HOT rows of keys
+        marks = df.sparkSession.createDataFrame(hot, df.select(*keys).schema)
+        marks = marks.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias(_HOT))
+        on = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+        df = df.join(F.broadcast(marks), on, "left").drop(*[f"_hot_{k}" for k in keys])
     majors = [m.alias(f"_major{i}") for i, m in enumerate(major)]
     # one struct as the key of a chunk, so that null keys form a group too
-    cut = F.struct(*keys, *majors, F.floor(F.col(order) / F.lit(chunk)).cast("long").alias("_nth"))
+    cut = F.struct(*keys, *majors, F.when(F.col(_HOT), nth).otherwise(F.lit(0).cast("long")).alias("_nth"))
     df = df.withColumn(_CUT, cut)
     local = df.repartition(_CUT).withColumns(
         {f"_local_{k}": v for k, v in _over(Window.partitionBy(_CUT).orderBy(order), sums, lasts).items()}
@@ -51,7 +64,7 @@ def running(
     # state at the end of every chunk: combined map-side, one row per chunk
     totals = [F.sum(v).alias(k) for k, v in sums.items()]
     ends = [F.max_by(v, F.when(v.isNotNull(), F.col(order))).alias(k) for k, v in lasts.items()]
-    state = df.groupBy(_CUT).agg(*totals, *ends)
+    state = df.filter(_HOT).groupBy(_CUT).agg(*totals, *ends)
     by_chunk = Window.partitionBy(*[f"{_CUT}.{k}" for k in keys]).orderBy(
         *[f"{_CUT}._major{i}" for i in range(len(majors))], f"{_CUT}._nth"
     )
@@ -66,7 +79,16 @@ def running(
         | {k: F.coalesce(f"_local_{k}", f"_carry_{k}") for k in lasts}
     )
     names = [*sums, *lasts]
-    return out.drop(_CUT, "_of", *[f"_local_{k}" for k in names], *[f"_carry_{k}" for k in names])
+    return out.drop(_CUT, _HOT, "_of", *[f"_local_{k}" for k in names], *[f"_carry_{k}" for k in names])
+
+
+def _hot_groups(df: DataFrame, keys: Sequence[str], chunk: int) -> list | None:
+    """Keys of the groups with more than ``chunk`` rows; None when all groups have to be cut."""
+    if not keys:
+        return None
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > chunk)
+    hot = counts.select(*keys).limit(MAX_HOT + 1).collect()
+    return None if len(hot) > MAX_HOT else hot
 
 
 def _over(w, sums: Mapping[str, Column], lasts: Mapping[str, Column]) -> dict[str, Column]:

@@ -489,7 +489,7 @@ def filldown_conversations(spark, folder):
         T.clean_text(F.col("text"), ".,;:§¶").alias("text"),
         F.lit(None).cast("string").alias("anchor"),
     )
-    rows = H.drop_empty_content(H.fill_down(rows, ["conv_id"], "turn", chunk=100_000, position="position"))
+    rows = H.drop_empty_content(H.fill_down(rows, ["conv_id"], "turn", chunk=1_000_000, position="position"))
     return rows.select(
         "conv_id", "turn", "position", H.level_type(F.col("lvl")).alias("type"), "lvl0", "lvl1",
         F.when(F.col("lvl") == CONTENT, F.col("text")).alias("content"),
@@ -551,8 +551,9 @@ def records_globals(spark, folder):
 @query(DOC_CTES + f"SELECT {EVENT_DOC_SQL}, CAST((row_number() OVER (PARTITION BY page_id ORDER BY position) - 1) // 50 + 1 AS INTEGER) AS batch FROM docs")
 def emission_batches(spark, folder):
     """Number of the batch of 50 that a document is sent in."""
-    docs = event_doc_columns(S.event_docs(spark, folder))
-    return I.add_batches(docs, ["page_id"], "position", chunk=100_000)
+    path = scratch(spark, "index")
+    I.rebuild(event_doc_columns(S.event_docs(spark, folder)), path)
+    return I.add_batches(spark.read.parquet(path), ["page_id"], "position", chunk=1_000_000)
 
 
 @query(DOC_CTES + "SELECT url_without_anchor, CAST(count(*) AS BIGINT) AS records FROM docs GROUP BY url_without_anchor")
