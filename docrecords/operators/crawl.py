@@ -173,13 +173,17 @@ def sitemap_pages(pages: DataFrame, spec: Spec) -> DataFrame:
     return out if spec.force_sitemap_urls_crawling else record_pages(out, spec)
 
 
-def page_set(from_sitemap: DataFrame, crawled: DataFrame, order: str = "page_id") -> DataFrame:
+def page_set(
+    from_sitemap: DataFrame, crawled: DataFrame, order: str = "page_id", flagged: str | None = None,
+    use_anchors: bool = False,
+) -> DataFrame:
     """All pages once, sitemap pages first; adds ``from_sitemap``."""
     both = from_sitemap.withColumn("from_sitemap", F.lit(True)).unionByName(
         crawled.withColumn("from_sitemap", F.lit(False))
     )
     out = both.withColumn("_late", (~F.col("from_sitemap")).cast("int"))
-    return dedupe_requests(out, ["_late", order]).drop("_late")
+    out = dedupe_requests(out, ["_late", order], flagged=flagged, use_anchors=use_anchors)
+    return out.drop("_late")
 
 
 def cap_pages(per_page: DataFrame, cap: int, order: str = "page_id", chunk: int = 1_000_000) -> DataFrame:

@@ -198,6 +198,8 @@ def parse_page(html: str, out: _Columns, exclude: Sequence[list[Compound]], keep
 
     def end(tag: str) -> None:
         if tag in ("html", "body"):
+            # what follows still belongs to the body
+            pop_to(2 if seen_body else len(stack))
             return
         rank = RANK.get(tag, 0)
         for depth in range(len(stack) - 1, 0, -1):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docrecords.functions.urls import canonical, drop_bare_fragment, drop_params
 from docrecords.operators import crawl as C
 from docrecords.operators.decompose import decompose, page_links
+from docrecords.operators.index import index_docs, partial_update
 from docrecords.plans.records import build_records
 from docrecords.sources.sitemap import crawl_sitemaps
 from docrecords.spec import Spec
@@ -26,24 +27,48 @@ def link_table(pages: DataFrame) -> DataFrame:
     return page_links(decompose(pages.select("url", "html")))
 
 
-def select_pages(pages: DataFrame, spec: Spec, sitemaps: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
-    """The stored pages that a run with this spec turns into records, with ``from_sitemap``."""
-    spark = pages.sparkSession
+def select_pages(
+    pages: DataFrame, spec: Spec, sitemaps: DataFrame | None = None, links: DataFrame | None = None
+) -> DataFrame:
+    """The stored pages that a run with this spec turns into records, with ``from_sitemap``.
+
+    ``pages(page_id, url, html)``, optionally ``request_url``, ``status`` and the flag ``redirected``.
+    """
     pages = clean_responses(pages, spec)
+    start = C.seeds(pages.sparkSession, spec).filter("kind = 'page'").select("url")
+    if "status" in pages.columns:
+        answers = pages.select(F.col("request_url").alias("url"), "status")
+        start = C.with_fallback(start, answers).select(F.coalesce("fetched_url", "url").alias("url"))
+        pages = pages.filter("status < 400")
     links = link_table(pages) if links is None else links
-    start = C.seeds(spark, spec).filter("kind = 'page'").select("url")
     reached = C.crawl_closure(links, start, spec).select(F.col("node").alias("_node"))
-    node = canonical(F.col("request_url"))
-    crawled = pages.join(reached, node == F.col("_node"), "left_semi")
-    crawled = C.record_pages(crawled, spec)
+    node = F.col("request_url") if spec.use_anchors and spec.js_render else canonical(F.col("request_url"))
+    crawled = C.record_pages(pages.join(reached, node == F.col("_node"), "left_semi"), spec)
     listed = pages.filter(F.lit(False))
     if spec.sitemap_urls and sitemaps is not None and not spec.only_urls:
         urls = crawl_sitemaps(sitemaps, list(spec.sitemap_urls), spec.sitemap_alternate_links)
         urls = urls.select(canonical(F.col("url")).alias("_node")).distinct()
-        listed = C.sitemap_pages(pages.join(urls, node == F.col("_node"), "left_semi"), spec)
-    return C.page_set(listed, crawled)
+        asked = canonical(F.col("request_url")) == F.col("_node")
+        listed = C.sitemap_pages(pages.join(urls, asked, "left_semi"), spec)
+    flagged = "redirected" if "redirected" in pages.columns else None
+    return C.page_set(listed, crawled, flagged=flagged, use_anchors=spec.use_anchors)
+
+
+def run(
+    pages: DataFrame, spec: Spec, sitemaps: DataFrame | None = None, links: DataFrame | None = None
+) -> DataFrame:
+    """Stored pages to records, up to the page that crosses the cap on records."""
+    records = build_records(select_pages(pages, spec, sitemaps, links), spec)
+    if spec.nb_hits_max == 0:
+        return records
+    # counted and then read again: written once instead of built twice
+    C.checkpoint_dir(pages.sparkSession)
+    records = records.checkpoint()
+    per_page = records.groupBy("page_id", "from_sitemap").agg(F.count(F.lit(1)).alias("records"))
+    return C.cap_records(records, per_page, spec.nb_hits_max)
 
 
-def run(pages: DataFrame, spec: Spec, sitemaps: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
-    """Stored pages to records."""
-    return build_records(select_pages(pages, spec, sitemaps, links), spec)
+def refreshed_index(stored: DataFrame, records: DataFrame, spec: Spec) -> DataFrame:
+    """The index after a run: only what lies below ``only_urls`` is replaced when they are given, else everything."""
+    docs = index_docs(records)
+    return partial_update(stored, docs, spec.only_urls) if spec.only_urls else docs

@@ -43,8 +43,9 @@ def _per_set(spec: Spec, value: Callable[[SelectorSet], Column]) -> Column:
 def parse_pages(pages: DataFrame, spec: Spec) -> DataFrame:
     """Decompose the pages that pass the stop phrases, with the XML forms that the selectors need."""
     need = xml_columns(list(spec.selectors.values()))
+    kept = [c for c in ("page_id", "url", "from_sitemap", "html") if c in pages.columns]
     return decompose(
-        drop_stop_content(pages.select("page_id", "url", "html"), spec.stop_content),
+        drop_stop_content(pages.select(*kept), spec.stop_content),
         exclude=spec.selectors_exclude,
         keep_tags=spec.keep_tags,
         xml="xml" in need,
@@ -167,7 +168,7 @@ def shape_records(rows: DataFrame, spec: Spec, filled: bool = False) -> DataFram
         "tags",
         F.struct("page_rank", H.heading_weight(F.col("lvl")).alias("level"), "position").alias("weight"),
         "extras",
-        *(["level_attrs"] if with_attrs else []),
+        *[c for c in ("level_attrs", "from_sitemap") if c in rows.columns],
     )
     level = {name: F.col("hierarchy")[name] for name in LEVELS}
     attrs = {name: F.col("level_attrs")[name] for name in LEVELS} if with_attrs else None
