@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 # Characters that stay readable in the path of a canonical URL.
 PATH_SAFE = ":/@!$&'()*+,;=~[]"
+# File types that are not followed as pages.
+IGNORED_EXTENSIONS = (
+    "7z 7zip bz2 rar tar tar.gz xz zip "
+    "mng pct bmp gif jpg jpeg png pst psp tif tiff ai drw dxf eps ps svg cdr ico webp "
+    "mp3 wma ogg wav ra aac mid au aiff 3gp asf asx avi mov mp4 mpg qt rm swf wmv m4a m4v flv webm "
+    "xls xlsm xlsx xltm xltx potm potx ppt pptm pptx pps doc docb docm docx dotm dotx odt ods odg odp "
+    "css pdf exe bin rss dmg iso apk jar sh rb js hta bat cpl msi msp py"
+).split()
 
 
 def java_regex(pattern: str) -> str:
@@ -150,6 +158,13 @@ def follow_allowed(col: Column, allow: Sequence[str] = (), deny: Sequence[str] =
     return keep & ~any_found(col, deny) if deny else keep
 
 
+def is_page_link(col: Column) -> Column:
+    """A link that can lead to a page: a fetchable scheme and no file type that is never a page."""
+    path = F.lower(F.regexp_extract(col, r"^[^?#;]*", 0))
+    types = "|".join(re.escape(e) for e in IGNORED_EXTENSIONS)
+    return col.rlike(r"^(https?|file|ftp)://") & ~path.rlike(rf"://[^/]*/.*\.({types})$")
+
+
 def in_domains(col: Column, domains: Sequence[str]) -> Column:
     """The host is one of the domains or below one of them."""
     host = hostname(col)
@@ -161,7 +176,8 @@ def redirect_ok(
     url: Column, request_url: Column, allow: Sequence[str], deny: Sequence[str] = (), strict: bool = True
 ) -> Column:
     """Both ends of a redirect must be allowed, or either one when not strict."""
-    here, asked = follow_allowed(url, allow, deny), follow_allowed(request_url, allow, deny)
+    here = is_page_link(url) & follow_allowed(url, allow, deny)
+    asked = is_page_link(request_url) & follow_allowed(request_url, allow, deny)
     return (here & asked) if strict else (here | asked)
 
 

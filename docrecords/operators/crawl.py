@@ -15,6 +15,7 @@ from docrecords.functions.urls import (
     fingerprint,
     follow_allowed,
     in_domains,
+    is_page_link,
     other_scheme,
     redirect_ok,
 )
@@ -60,7 +61,7 @@ def deny_patterns(spec: Spec) -> list[str]:
 
 def followed_links(links: DataFrame, spec: Spec) -> DataFrame:
     """Links that are followed: allowed, not denied, on an allowed domain, in canonical form unless anchors matter."""
-    keep = follow_allowed(F.col("dst_url"), allow_patterns(spec), deny_patterns(spec))
+    keep = is_page_link(F.col("dst_url")) & follow_allowed(F.col("dst_url"), allow_patterns(spec), deny_patterns(spec))
     if spec.allowed_domains:
         keep = keep & in_domains(F.col("dst_url"), spec.allowed_domains)
     out = links.filter(keep)

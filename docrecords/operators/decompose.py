@@ -391,14 +391,19 @@ def node_rows(decomposed: DataFrame, *keys: str) -> DataFrame:
 
 
 def page_links(decomposed: DataFrame, url: str = "url") -> DataFrame:
-    """Distinct absolute links of every page: ``src_url, dst_url``. Page-local, so no shuffle."""
+    """Distinct absolute links of every page: ``src_url, dst_url``. Page-local, so no shuffle.
+
+    Relative links start from the page's ``<base>`` when it has one.
+    """
     raw = F.flatten(
         F.transform(
             F.filter("nodes", lambda n: n.tag.isin("a", "area", "iframe")),
             lambda n: F.filter(F.array(n.attrs["href"], n.attrs["src"]), lambda v: v.isNotNull()),
         )
     )
-    return decomposed.select(F.col(url).alias("src_url"), F.explode(F.array_distinct(raw)).alias("link")).select(
-        "src_url", resolve_link(F.col("link"), F.col("src_url")).alias("dst_url")
+    bases = F.filter("nodes", lambda n: (n.tag == "base") & n.attrs["href"].isNotNull())
+    found = decomposed.select(
+        F.col(url).alias("src_url"), F.get(bases, F.lit(0)).attrs["href"].alias("_base"), F.explode(F.array_distinct(raw)).alias("_link")
     )
-
+    base = F.when(F.col("_base").isNull(), F.col("src_url")).otherwise(resolve_link(F.col("_base"), F.col("src_url")))
+    return found.withColumn("_base", base).select("src_url", resolve_link(F.col("_link"), F.col("_base")).alias("dst_url"))

@@ -28,7 +28,7 @@ def flatten(records: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Booleans become text, the apostrophe entity is written out in strings and maps; arrays stay."""
+    """Booleans become text (JSON ones in maps too), the apostrophe entity is written out; arrays stay."""
     out: dict[str, Column] = {}
     for name, kind in docs.dtypes:
         if kind == "boolean":
@@ -36,7 +36,10 @@ def clean(docs: DataFrame) -> DataFrame:
         elif kind == "string" and name != "objectID":
             out[name] = restore_apostrophes(F.col(name))
         elif kind == "map<string,string>":
-            out[name] = F.transform_values(name, lambda _, v: restore_apostrophes(v))
+            out[name] = F.transform_values(
+                name,
+                lambda _, v: F.when(v == "true", F.lit('"True"')).when(v == "false", F.lit('"False"')).otherwise(restore_apostrophes(v)),
+            )
         elif kind == "map<string,map<string,string>>":
             inner = lambda _, m: F.transform_values(m, lambda _k, v: restore_apostrophes(v))
             out[name] = F.transform_values(name, inner)

@@ -18,6 +18,7 @@ from docrecords.operators import page_attrs as P
 from docrecords.operators import url_rules as R
 from docrecords.operators.decompose import decompose, node_rows, page_links
 from docrecords.operators.select import select_nids, texts_of
+from docrecords.plans import crawl as run_plan
 from docrecords.plans import samples as S
 from docrecords.plans.records import build_records, drop_stop_content, page_attributes, parse_pages
 from docrecords.sources.pages import decode_body, spread
@@ -949,6 +950,35 @@ def page_set(spark, folder):
     return C.page_set(C.sitemap_pages(pages, spec), C.record_pages(pages, spec)).select("page_id", "url", "from_sitemap")
 
 
+@query(
+    PAGE_CTES
+    + f""", hub AS (SELECT 1 FROM pages WHERE regexp_matches(url, '/fr/') AND page_id % 5 = 0 LIMIT 1), ranked AS (
+  SELECT page_id, row_number() OVER (PARTITION BY regexp_replace({_CANON}, '^https?', '') ORDER BY page_id) AS r FROM pages
+  WHERE regexp_matches(url, '/fr/') OR (regexp_matches(url, '/es/') AND EXISTS (SELECT 1 FROM hub))
+)
+SELECT page_id, url, position, type, content, "objectID" FROM docs WHERE page_id IN (SELECT page_id FROM ranked WHERE r = 1)
+"""
+)
+def site_run(spark, folder):
+    """A whole run: a start page leads to the pages of its language, some of those to the next language."""
+    pages = S.pages(spark, folder)
+    lang = F.regexp_extract("url", "/(en|fr|de|es)/", 1)
+    hub = F.concat(F.lit("http://hub.example.com/"), lang, F.lit("/"))
+    base = urls(spark, folder)
+    down = base.select(hub.alias("src_url"), F.col("url").alias("dst_url"))
+    across = base.filter(lang == "fr").filter(F.col("page_id") % 5 == 0)
+    across = across.select(F.col("url").alias("src_url"), F.lit("http://hub.example.com/es/").alias("dst_url"))
+    spec = Spec.of(
+        index_uid="site",
+        start_urls=["http://hub.example.com/fr/", *S.PAGE_RULES, "http://.*/(fr|es)/"],
+        allowed_domains=["example.com", "example.net", "example.org"],
+        stop_urls=["/en/", "/de/"],
+        selectors={"lvl0": "h1", "content": "p"},
+    )
+    docs = I.index_docs(run_plan.run(pages, spec, links=down.unionByName(across)))
+    return docs.select("page_id", "url", "position", "type", "content", "objectID")
+
+
 _EDGES = "WITH RECURSIVE edges AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), "
 
 

@@ -6,8 +6,9 @@ needed to know which URLs were seen.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,15 +25,33 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(PAGE).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def first_seen(pages: DataFrame, use_anchors: bool = False, ingest_time: str | None = None, delay: str = "1 day") -> DataFrame:
+def first_seen(
+    pages: DataFrame, use_anchors: bool = False, ingest_time: str | None = None, delay: str = "1 day"
+) -> DataFrame:
     """Drop pages whose URL came before, in this or an earlier batch.
 
-    With an ingest time the state is bounded: URLs are remembered for ``delay`` only.
+    Every task first drops the copies among its own pages, so a URL that fills a third of a batch sends one page per
+    task to the state, not all of them. With an ingest time the state is bounded: URLs are remembered for ``delay`` only.
     """
+    if ingest_time is not None:
+        pages = pages.withWatermark(ingest_time, delay)
     pages = pages.withColumn("fp", fingerprint(F.col("url"), use_anchors=use_anchors))
+    # a null URL has no fingerprint; such pages are compared by nothing and stay
+    pages = pages.withColumn("fp", F.coalesce("fp", F.concat(F.lit("page "), F.col("page_id").cast("string"))))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            keep = []
+            for fp in batch.column(batch.schema.get_field_index("fp")).to_pylist():
+                keep.append(fp not in seen)
+                seen.add(fp)
+            yield batch.filter(pa.array(keep))
+
     if ingest_time is None:
-        return pages.dropDuplicates(["fp"]).drop("fp")
-    return pages.withWatermark(ingest_time, delay).dropDuplicatesWithinWatermark(["fp"]).drop("fp")
+        return pages.mapInArrow(firsts, pages.schema).dropDuplicates(["fp"]).drop("fp")
+    # the watermark does not pass through the task-local step
+    return pages.dropDuplicatesWithinWatermark(["fp"]).drop("fp")
 
 
 def stream_records(

@@ -173,4 +173,6 @@ def test_links(spark):
     <img src="no.png"><a>none</a><a href="/x?a=1&amp;b=2">again</a>"""
     pages = spark.createDataFrame([("http://a.b/c/d", html)], "url string, html string").coalesce(1)
     got = [r.dst_url for r in page_links(decompose(pages)).collect()]
-    assert got == ["http://a.b/x?a=1&b=2", "http://a.b/c/y", "http://c.d/e", "http://a.b/c/d#f"]
+    assert got == ["http://a.b/x?a=1&b=2", "http://a.b/y", "http://c.d/e", "http://a.b/z#f"]
+    plain = pages.withColumn("html", F.replace("html", F.lit('<base href="/z">'), F.lit("")))
+    assert [r.dst_url for r in page_links(decompose(plain)).collect()][1::2] == ["http://a.b/c/y", "http://a.b/c/d#f"]
