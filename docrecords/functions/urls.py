@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docrecords.functions.text import let
+
 # Characters that stay readable in the path of a canonical URL.
 PATH_SAFE = ":/@!$&'()*+,;=~[]"
 # File types that are not followed as pages.
@@ -124,10 +126,24 @@ def _query_part(col: Column) -> Column:
 
 def canonical(col: Column) -> Column:
     """Lower-case domain, normalised escapes, sorted query arguments, no fragment."""
+    # bound once, here and below: the parts refer to it many times and such functions get nested
+    return let(col, _canonical)
+
+
+def _canonical(col: Column) -> Column:
     head = F.regexp_extract(col, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1)
     domain = F.regexp_replace(netloc(col), ":$", "")
     path = F.regexp_extract(col, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     query = F.regexp_extract(col, r"^[^?#]*\?([^#]*)", 1)
+    return F.concat(
+        F.lower(head),
+        F.lower(domain),
+        let(path, lambda p: F.when(p == "", F.lit("/")).otherwise(_path(p))),
+        let(query, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), _arguments(q)))),
+    )
+
+
+def _arguments(query: Column) -> Column:
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
         lambda p: F.struct(
@@ -135,13 +151,7 @@ def canonical(col: Column) -> Column:
             _query_part(F.regexp_extract(p, "^[^=]*=(.*)", 1)).alias("v"),
         ),
     )
-    args = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p.k, F.lit("="), p.v)), "&")
-    return F.concat(
-        F.lower(head),
-        F.lower(domain),
-        F.when(path == "", F.lit("/")).otherwise(_path(path)),
-        F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), args)),
-    )
+    return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p.k, F.lit("="), p.v)), "&")
 
 
 def fingerprint(col: Column, *, with_scheme: bool = False, use_anchors: bool = False) -> Column:
@@ -167,9 +177,10 @@ def is_page_link(col: Column) -> Column:
 
 def in_domains(col: Column, domains: Sequence[str]) -> Column:
     """The host is one of the domains or below one of them."""
-    host = hostname(col)
-    tests = [(host == d.lower()) | F.endswith(host, F.lit("." + d.lower())) for d in domains]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+    names = F.array(*[F.lit(d.lower()) for d in domains]).cast("array<string>")
+    return let(
+        hostname(col), lambda host: F.exists(names, lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
+    )
 
 
 def redirect_ok(
@@ -183,13 +194,16 @@ def redirect_ok(
 
 def resolve_link(link: Column, base: Column) -> Column:
     """Absolute form of a link found on the page ``base``; dot segments are folded."""
-    link = F.btrim(link)
+    return let(F.struct(F.btrim(link).alias("link"), base.alias("base")), lambda v: _resolve(v.link, v.base))
+
+
+def _resolve(link: Column, base: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
     with_query = F.regexp_extract(base, r"^([^#]*)", 1)
-    folder = F.when(page.rlike(r"^[^:]+://[^/]*$"), F.concat(page, F.lit("/"))).otherwise(
-        F.regexp_extract(page, r"^(.*/)", 1)
+    folder = F.when(base.rlike(r"^[^:]+://[^/?#]*([?#].*)?$"), F.concat(root, F.lit("/"))).otherwise(
+        F.regexp_extract(base, r"^([^?#]*/)", 1)
     )
     full = (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
@@ -200,7 +214,8 @@ def resolve_link(link: Column, base: Column) -> Column:
         .when(F.startswith(link, F.lit("?")), F.concat(page, link))
         .otherwise(F.concat(folder, link))
     )
-    return F.when(link.rlike(r"(^|/)\.\.?(/|$|[?#])"), _fold_dots(full)).otherwise(full)
+    has_dots = link.rlike(r"(^|/)\.\.?(/|$|[?#])")
+    return let(full, lambda url: F.when(has_dots, _fold_dots(url)).otherwise(url))
 
 
 def _fold_dots(col: Column) -> Column:
@@ -215,4 +230,4 @@ def _fold_dots(col: Column) -> Column:
         .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.least(F.size(acc), F.lit(1)))))
         .otherwise(F.array_append(acc, s)),
     )
-    return F.when(head == "", col).otherwise(F.concat(head, F.array_join(kept, "/"), tail))
+    return F.when(col.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(head, F.array_join(kept, "/"), tail)).otherwise(col)

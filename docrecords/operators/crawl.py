@@ -131,6 +131,9 @@ def crawl_closure(links: DataFrame, start: DataFrame, spec: Spec) -> DataFrame:
     edges = followed_links(links, spec).select(
         canonical(F.col("src_url")).alias("src"), F.col("dst_url").alias("dst")
     )
+    # links come out of parsed pages: written once, not parsed again in every round
+    checkpoint_dir(links.sparkSession)
+    edges = edges.checkpoint()
     nodes = start.select(canonical(F.col("url")).alias("node"))
     return reachable(edges, nodes, max_hops=1 if spec.only_urls else None)
 
