@@ -81,6 +81,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# longer names occur in broken markup only, and XML parsers refuse them
+LONGEST_NAME = 200
 NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
 
@@ -274,10 +276,10 @@ def _xml(cols: _Columns, lo: int, hi: int, frag_lo: int, mark_text: bool) -> str
             s = esc(cols.frag[frag_lo + cols.lo[lo + nid]])
             parts.append(f'<_t nid="{nid}">{s}</_t>' if mark_text else s)
             continue
-        tag = re.sub(r"[^\w.-]", "_", tag)
+        tag = re.sub(r"[^\w.-]", "_", tag[:LONGEST_NAME])
         attrs = {"nid": str(nid)}
         for name, value in (cols.attrs[lo + nid] or {}).items():
-            name = re.sub(r"[^\w.-]", "_", name)
+            name = re.sub(r"[^\w.-]", "_", name[:LONGEST_NAME])
             if re.match(r"[A-Za-z_]", name):
                 attrs.setdefault(name, value)
         parts.append(f"<{tag}" + "".join(f' {k}="{esc(v)}"' for k, v in attrs.items()) + ">")

@@ -163,7 +163,7 @@ def level_matches(
     subs: Mapping[int, list] = {
         lvl: [_sub_nids(name, sub, sel) for name, sub in sel.attributes.items()]
         for lvl, _, sel in levels
-        if sel.attributes
+        if sel.attributes and lvl != CONTENT
     }
     names = {(lvl, name): f"s{lvl}_{i}" for lvl, found_subs in subs.items() for i, (name, _, _) in enumerate(found_subs)}
 
@@ -172,7 +172,7 @@ def level_matches(
         for lvl, group_subs in subs.items():
             pairs = []
             for name, _, inside in group_subs:
-                sub = group.selectors[f"lvl{lvl}" if lvl != CONTENT else "content"].attributes[name]
+                sub = group.selectors[f"lvl{lvl}"].attributes[name]
                 nids = shared[names[lvl, name]]
                 if inside:
                     nids = F.filter(nids, lambda i: (i >= node.nid) & (i <= node.last))

@@ -33,8 +33,6 @@ def first_seen(
     Every task first drops the copies among its own pages, so a URL that fills a third of a batch sends one page per
     task to the state, not all of them. With an ingest time the state is bounded: URLs are remembered for ``delay`` only.
     """
-    if ingest_time is not None:
-        pages = pages.withWatermark(ingest_time, delay)
     pages = pages.withColumn("fp", fingerprint(F.col("url"), use_anchors=use_anchors))
     # a null URL has no fingerprint; such pages are compared by nothing and stay
     pages = pages.withColumn("fp", F.coalesce("fp", F.concat(F.lit("page "), F.col("page_id").cast("string"))))
@@ -48,10 +46,10 @@ def first_seen(
                 seen.add(fp)
             yield batch.filter(pa.array(keep))
 
+    pages = pages.mapInArrow(firsts, pages.schema)
     if ingest_time is None:
-        return pages.mapInArrow(firsts, pages.schema).dropDuplicates(["fp"]).drop("fp")
-    # the watermark does not pass through the task-local step
-    return pages.dropDuplicatesWithinWatermark(["fp"]).drop("fp")
+        return pages.dropDuplicates(["fp"]).drop("fp")
+    return pages.withWatermark(ingest_time, delay).dropDuplicatesWithinWatermark(["fp"]).drop("fp")
 
 
 def stream_records(

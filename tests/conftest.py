@@ -19,6 +19,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.default.parallelism", "2")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="docrecords-warehouse-"))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docrecords-checkpoint-"))
         .getOrCreate()

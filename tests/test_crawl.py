@@ -101,6 +101,15 @@ def test_sitemaps(spark):
     assert {r.url for r in found.collect()} == {"http://a.b/docs/1", "http://a.b/docs/2"}
 
 
+def test_broken_sitemaps_give_what_they_can(spark):
+    xml = """<urlset><!-- <url><loc>http://a.b/no</loc></url> --><url><image:image><image:loc>http://a.b/i.png</image:loc>
+    </image:image><loc><![CDATA[http://a.b/1?x=1&y=2]]></loc></url><s:url><s:loc>http://a.b/2?x=1&amp;y=2</s:loc></s:url>
+    <url><loc>http://a.b/3</loc></url><url><loc>http://a.b/4"""
+    maps = spark.createDataFrame([("http://a.b/s.xml", xml)], "url string, xml string").coalesce(1)
+    got = [r.url for r in sitemap_urls(maps).orderBy("ord").collect()]
+    assert got == ["http://a.b/1?x=1&y=2", "http://a.b/2?x=1&y=2", "http://a.b/3"]
+
+
 def test_seeds(spark):
     s = spec(sitemap_urls=["http://a.b/s.xml"])
     assert [(r.url, r.kind, r.scrape) for r in C.seeds(spark, s).orderBy("ord").collect()] == [
