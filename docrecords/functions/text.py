@@ -78,9 +78,13 @@ def json_text(col: Column) -> Column:
     escaped = F.to_json(F.array(col), {"writeNonAsciiCharacterAsCodePoint": "true"})
     escaped = F.substring(escaped, F.lit(2), F.length(escaped) - 2)
     # hex digits of the escapes are lower case here, and DEL is escaped too
-    lower = F.replace(escaped, F.lit("\x7f"), F.lit(r"\u007f"))
-    for digit in "ABCDEF":
-        lower = F.regexp_replace(lower, rf"(?<=\\u[0-9A-Fa-f]{{0,3}}){digit}", digit.lower())
+    pieces = F.split(F.replace(escaped, F.lit("\x7f"), F.lit(r"\u007f")), r"\\u")
+
+    def lower_digits(piece: Column, ix: Column) -> Column:
+        rest = F.substring(piece, F.lit(5), F.length(piece))
+        return F.when(ix == 0, piece).otherwise(F.concat(F.lower(F.substring(piece, 1, 4)), rest))
+
+    lower = F.array_join(F.transform(pieces, lower_digits), r"\u")
     return (
         F.when(col.isNull(), F.lit("null"))
         .when(plain, F.concat(F.lit('"'), col, F.lit('"')))

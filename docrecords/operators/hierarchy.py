@@ -33,16 +33,18 @@ def fill_down(
     chunk: int | None = None,
     attrs: bool = False,
     position: str | None = None,
+    levels: int = MAX_LEVEL,
 ) -> DataFrame:
     """Carry headings down: adds ``lvl0..lvl6`` and the record ``anchor`` (deepest level first).
 
-    With ``position`` the rows are numbered in the same pass, see :func:`add_position`.
+    With ``position`` the rows are numbered in the same pass, see :func:`add_position`. ``levels`` is the number of
+    heading levels in use; deeper ones are null.
 
     A heading sets its level and clears the deeper ones, also when its text is null. For level k the latest heading at
     k or above decides: the level is filled only if that heading is at k itself.
     """
     kept = ["lvl", "text", "anchor"] + (["attrs"] if attrs else [])
-    states = {f"_s{k}": F.when(F.col("lvl") <= k, F.struct(*kept)) for k in range(MAX_LEVEL)}
+    states = {f"_s{k}": F.when(F.col("lvl") <= k, F.struct(*kept)) for k in range(levels)}
     numbers = {position: F.lit(1)} if position else {}
     df = running(df, keys, order, sums=numbers, lasts=states, chunk=chunk)
 
@@ -50,11 +52,12 @@ def fill_down(
         state = F.col(f"_s{k}")
         return F.when(state["lvl"] == k, state[part])
 
-    out = {name: held(k, "text") for k, name in enumerate(LEVELS)}
-    out["anchor"] = F.coalesce(*[held(k, "anchor") for k in range(MAX_LEVEL - 1, -1, -1)])
+    none = F.lit(None).cast("string")
+    out = {name: held(k, "text") if k < levels else none for k, name in enumerate(LEVELS)}
+    out["anchor"] = F.coalesce(*[held(k, "anchor") for k in range(levels - 1, -1, -1)], none)
     if attrs:
         out["level_attrs"] = F.map_filter(
-            F.create_map(*[c for k, name in enumerate(LEVELS) for c in (F.lit(name), held(k, "attrs"))]),
+            F.create_map(*[c for k, name in enumerate(LEVELS[:levels]) for c in (F.lit(name), held(k, "attrs"))]),
             lambda _, v: v.isNotNull(),
         )
     if position:

@@ -38,6 +38,8 @@ def running(
     """
     sums = {k: v.cast("long") for k, v in (sums or {}).items()}
     lasts = dict(lasts or {})
+    if not sums and not lasts:
+        return df
     hot = [] if chunk is None else _hot_groups(df, keys, chunk)
     if hot == []:
         # the window would build all its inputs before the shuffle; shuffled first, every text travels once

@@ -115,7 +115,8 @@ def shape_records(rows: DataFrame, spec: Spec, filled: bool = False) -> DataFram
     # content rows set no state and are numbered already, so empty ones need not travel
     rows = H.drop_empty_content(rows)
     if not filled:
-        rows = H.fill_down(rows, ["page_id"], "position", attrs=with_attrs)
+        deepest_used = max(group.heading_count for group in spec.selectors.values())
+        rows = H.fill_down(rows, ["page_id"], "position", attrs=with_attrs, levels=deepest_used)
     if spec.only_content_level:
         rows = H.keep_content_only(rows)
     min_level = (
@@ -170,11 +171,17 @@ def shape_records(rows: DataFrame, spec: Spec, filled: bool = False) -> DataFram
         "extras",
         *[c for c in ("level_attrs", "from_sitemap") if c in rows.columns],
     )
-    level = {name: F.col("hierarchy")[name] for name in LEVELS}
-    attrs = {name: F.col("level_attrs")[name] for name in LEVELS} if with_attrs else None
+    fillable = [name for name in LEVELS if any(_can_be_set(group, name) for group in spec.selectors.values())]
+    level = {name: F.col("hierarchy")[name] for name in fillable}
+    attrs = {name: F.col("level_attrs")[name] for name in fillable} if with_attrs else None
     return out.withColumn("objectID", H.object_id(level, F.col("weight.position"), F.col("url"), attrs))
 
 
+def _can_be_set(group: SelectorSet, name: str) -> bool:
+    sel = group.selectors.get(name)
+    return name in group.used_levels or (sel is not None and sel.default_value is not None)
+
+
 def _default(group: SelectorSet, name: str) -> Column:
     sel = group.selectors.get(name)
     return F.lit(sel.default_value if sel else None).cast("string")

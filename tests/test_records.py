@@ -303,3 +303,16 @@ def test_url_variables(spark):
 def test_anchor_not_added_for_rendered_anchor_pages(spark):
     row = run(spark, '<h1 id="x">Foo</h1>', "http://t.com/#/a", js_render=True, use_anchors=True)[0]
     assert (row.url, row.anchor, row.no_variables) == ("http://t.com/#/a", "x", True)
+
+
+def test_default_of_a_level_after_a_gap(spark):
+    selectors = {"lvl0": "h1", "lvl2": {"selector": "h3", "default_value": "Two"}, "content": "p"}
+    rows = run(spark, "<h1>A</h1><h3>C</h3><p>x</p>", selectors=selectors)
+    # levels after the first missing one match nothing, but their default is filled in
+    assert [(r.type, levels(r)) for r in rows] == [("lvl0", ("A", None, "Two")), ("content", ("A", None, "Two"))]
+    assert rows[0].hierarchy_radio.lvl0 == "A" and rows[0].hierarchy_radio.lvl2 is None
+
+
+def test_content_without_levels(spark):
+    rows = run(spark, "<h1>A</h1><p>x</p>", selectors={"default": {"content": "p"}})
+    assert [(r.type, levels(r), r.content) for r in rows] == [("content", (None, None, None), "x")]
