@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator, Sequence
-from html import unescape
+from html.entities import name2codepoint
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -81,6 +81,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+REFERENCE = re.compile(r"&(?:#(\d+);?|#[xX]([0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*);)")
+CODES = {**name2codepoint, "apos": 39}
 # longer names occur in broken markup only, and XML parsers refuse them
 LONGEST_NAME = 200
 NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
@@ -109,6 +111,20 @@ class _Columns:
         self.frag, self.keep = [], []
 
 
+def _character(ref: re.Match) -> str:
+    decimal, hexa, name = ref.groups()
+    if name:
+        return chr(CODES[name]) if name in CODES else ref[0]
+    digits = (decimal or hexa).lstrip("0")
+    code = int(digits or "0", 10 if decimal else 16) if len(digits) < 8 else 0
+    return NOT_XML.sub("", chr(code)) if code <= 0x10FFFF else ""
+
+
+def unescape(s: str) -> str:
+    """Character references as text. A name counts only with its semicolon, a number also without."""
+    return REFERENCE.sub(_character, s)
+
+
 def _attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, double, single, bare in ATTR.findall(raw):

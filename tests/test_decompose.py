@@ -46,6 +46,8 @@ def tree(html, exclude=(), keep=()):
         ("<html><head><meta charset=x></head> <body class=y>a</body></html>", "html(head(meta()) body('a'))"),
         ("text", "html(body(p('text')))"),
         ("a &lt; b < c &amp; &eacute;", "html(body(p('a < b < c & é')))"),
+        ("<p>&amp &copy; &nope; &#65 &#x42; &#0; &#x110000; &#99999999999; &apos;", "html(body(p(\"&amp © &nope; A B    '\")))"),
+        ('<p title="&amp &lt;">&', "html(body(p('&')))"),
         ("<div>a<!-- c -->b</div>", "html(body(div('a' 'b')))"),
         ("<!DOCTYPE html><?pi ?><div>a</div>", "html(body(div('a')))"),
         ("<select><option>a<option>b</select>", "html(body(select(option('a') option('b'))))"),
