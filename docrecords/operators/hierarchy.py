@@ -92,15 +92,6 @@ def drop_empty_content(df: DataFrame) -> DataFrame:
     return df.filter((F.col("lvl") != CONTENT) | F.coalesce(F.col("text") != "", F.lit(False)))
 
 
-def apply_globals(values: Mapping[int, Column], index: Column) -> dict[str, Column]:
-    """Page-wide texts replace their level, down to the level of the row and even by null."""
-    return {LEVELS[k]: F.when(index >= k, v).otherwise(F.col(LEVELS[k])) for k, v in values.items()}
-
-
-def apply_defaults(values: Mapping[int, Column]) -> dict[str, Column]:
-    return {LEVELS[k]: F.coalesce(F.col(LEVELS[k]), v) for k, v in values.items()}
-
-
 def deepest_level(is_set: Callable[[int], Column], heading_count: Column) -> Column:
     """Number of the deepest filled level in use, null for none."""
     return F.greatest(*[F.when(is_set(k) & (heading_count > k), F.lit(k)) for k in range(MAX_LEVEL)])

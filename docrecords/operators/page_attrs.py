@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docrecords.functions.text import json_value, let
 from docrecords.functions.urls import first_rule, found, java_regex, starts
-from docrecords.spec import Spec, StartUrl
+from docrecords.spec import StartUrl
 
 MAP = "map<string,string>"
 
