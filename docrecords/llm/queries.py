@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docrecords.llm.mixing import op9_mixing
+from docrecords.llm.pii import op5_pii
+from docrecords.llm.quality_fm import op3_quality_fm
 from docrecords.llm.quality_rules import op8_quality_rules
+from docrecords.llm.sentencepiece_stream import op1_sentencepiece
+from docrecords.llm.simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_quality_fm": op3_quality_fm,
+    "op5_pii": op5_pii,
     "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {}

@@ -14,7 +14,7 @@ gives an empty one. Extra columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -149,6 +149,13 @@ def forest(links: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray
     return root
 
 
+def unit_work(depth: int, radius: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return unit_links(key, group, depth, radius)
+
+    return work
+
+
 def unit_links(key: tuple, group: pd.DataFrame, depth: int, radius: int) -> pd.DataFrame:
     """Forest of one pair of subtries."""
     fps = np.unique(group["fp"].to_numpy().view(np.uint64))
@@ -186,10 +193,7 @@ def near_links(fps: DataFrame, radius: int, unit: int = UNIT, largest: int = LAR
         more = depth < BITS - 8 and not crowded.isEmpty()
         whole = units.join(crowded, ["lo", "hi"], "left_anti") if more else units
 
-        def work(key: tuple, group: pd.DataFrame, depth: int = depth) -> pd.DataFrame:
-            return unit_links(key, group, depth, radius)
-
-        found = whole.groupBy("lo", "hi").applyInPandas(work, "a long, b long")
+        found = whole.groupBy("lo", "hi").applyInPandas(unit_work(depth, radius), "a long, b long")
         links = found if links is None else links.unionByName(found)
         if not more:
             return links
