@@ -13,7 +13,8 @@ nothing is learned and nothing added. Extra columns do not matter; working colum
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,7 +62,7 @@ def small_parts(x: Column) -> Column:
     """All dotted numbers are at most 255."""
     return F.forall(
         F.split(x, r"\."),
-        lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.substring(F.ltrim(F.lit("0"), p), 1, 3).try_cast("int"), F.lit(0)) <= 255),
+        lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255),
     )
 
 
@@ -76,6 +77,10 @@ def passes(kind: str, x: Column) -> Column:
     return n.between(9, 15)
 
 
+def check_of(kind: str) -> Callable[[Column], Column]:
+    return lambda x: passes(kind, x["t"])
+
+
 def found(text: Column, hits: Column, gaps: Column) -> Column:
     """Matches with their places in code points: ``gaps`` are the lengths of what lies before, between and after them."""
 
@@ -115,7 +120,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_p_text`` and the base spans ``_p_b_<kind>``."""
     out = docs.withColumn("_p_text", F.coalesce(F.col(text), F.lit("")))
     out = with_matches(out, BASE, "_p_r_")
-    kept = {f"_p_b_{k}": F.filter(f"_p_r_{k}", lambda x, k=k: passes(k, x["t"])) for k in KINDS}
+    kept = {f"_p_b_{k}": F.filter(f"_p_r_{k}", check_of(k)) for k in KINDS}
     return out.withColumns(kept).drop(*[f"_p_r_{k}" for k in KINDS])
 
 
@@ -150,21 +155,30 @@ def features(text: Column, x: Column) -> dict[str, Column]:
     }
 
 
+def proposal(text: Column, kind: int, y: int) -> Callable[[Column], Column]:
+    def full(x: Column) -> Column:
+        values = [v.cast("int").alias(n) for n, v in features(text, x).items()]
+        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(y).alias("y"), *values)
+
+    return full
+
+
+def not_among(spans: str) -> Callable[[Column], Column]:
+    return lambda x: ~F.exists(spans, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"]))
+
+
+def numbered(kind: int) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
+
+
 def with_proposals(docs: DataFrame) -> DataFrame:
     """Adds ``_p_c``: proposals as (kind, s, e, y, features); y tells whether it is a base span of its kind."""
     text = F.col("_p_text")
     out = with_matches(docs, LOOSE, "_p_l_")
     parts = []
     for k, kind in enumerate(KINDS):
-        base = F.col(f"_p_b_{kind}")
-        extra = F.filter(f"_p_l_{kind}", lambda x, b=base: ~F.exists(b, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"])))
-
-        def full(x: Column, y: int, k: int = k) -> Column:
-            values = [v.cast("int").alias(n) for n, v in features(text, x).items()]
-            return F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(y).alias("y"), *values)
-
-        parts.append(F.transform(base, lambda x, f=full: f(x, 1)))
-        parts.append(F.transform(extra, lambda x, f=full: f(x, 0)))
+        parts.append(F.transform(f"_p_b_{kind}", proposal(text, k, 1)))
+        parts.append(F.transform(F.filter(f"_p_l_{kind}", not_among(f"_p_b_{kind}")), proposal(text, k, 0)))
     out = out.withColumn("_p_c", F.concat(*parts))
     return out.drop(*[f"_p_l_{k}" for k in KINDS])
 
@@ -271,9 +285,7 @@ def with_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", trai
     """Adds ``_p_base`` and ``_p_spans``, arrays of (kind, s, e) by kind and start."""
     proposals = with_proposals(with_base(docs, text))
     model = learn(proposals, doc_id, training)
-    base = F.concat(
-        *[F.transform(f"_p_b_{k}", lambda x, i=i: F.struct(F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))) for i, k in enumerate(KINDS)]
-    )
+    base = F.concat(*[F.transform(f"_p_b_{k}", numbered(i)) for i, k in enumerate(KINDS)])
     out = proposals.withColumn("_p_base", base)
 
     def added(x: Column) -> Column:

@@ -9,8 +9,8 @@ from all live boundaries meet in one, everything up to it is final: its ids are
   exactly one allowed path to every boundary, and it is the merge result. Pairs are tested by merging them, once each.
 
 No piece of a model spans certain places (for instance before a word mark, or around a character that no piece holds). Paths
-always meet there, so texts are cut at blanks and line ends first and the ids of a cut part are remembered, up to
-``remembered`` parts per task.
+always meet there, so texts are cut there first, and the ids of cut parts are remembered, up to twice ``remembered`` per
+task.
 
 Defined results: null gives null ids; an empty text gives none. Characters outside the vocabulary become byte pieces, or
 the unknown id where a model has none. Decoding gives the text back, but for what the model's own rules change (unknown
@@ -20,6 +20,7 @@ ids, the word mark character itself). Rows and other columns stay as they are; `
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # a vocabulary is sent to every task; larger files are refused
 MODEL_BYTES = 64 << 20
+# numbers of unknown characters, factor of a pair's first number, pairs that are remembered
+BEYOND, PAIR, PAIRS = 1 << 21, 1 << 23, 1 << 20
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,12 +89,19 @@ class Vocabulary:
         byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.byte_ids = byte_ids if len(byte_ids) == 256 else None
         self.longest = max(map(len, self.ids), default=1)
-        self.letters = set("".join(self.ids))
+        #: pairs of characters that some piece holds side by side; between others paths always meet
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        endings: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                endings.setdefault(piece[-2:], set()).add(len(piece))
+        #: lengths of the pieces that end in two given characters, longest first
+        self.endings = {e: tuple(sorted(n, reverse=True)) for e, n in endings.items()}
         worst = min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.unknown_score = worst - 10.0
         # whether paths meet before every blank that follows a letter, and around line ends
         self.cut_blank = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.cut_line = "\n" not in self.letters
+        self.cut_line = not any("\n" in p for p in self.ids)
         self.control = {i for i in range(n) if sp.is_control(i)}
         self.octets = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         for i in self.control:
@@ -129,49 +139,68 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.extend = self.extend_bpe if vocabulary.bpe else self.extend_unigram
         self.reset()
 
     def reset(self) -> None:
         self.window = ""  # text since the last committed boundary
-        self.last: list[str | None] = [""]  # best last piece at each boundary of the window
-        self.best = [0.0]
+        self.last = [""]  # best last piece at each boundary of the window
+        self.numbers = [-1]  # the same by number, for BPE models
+        self.best = [0.0]  # its path's score, for unigram models
+
+    def number(self, piece: str) -> int:
+        """Id of a piece; characters outside the vocabulary get numbers beyond it."""
+        id_ = self.v.ids.get(piece)
+        return BEYOND + ord(piece) if id_ is None else id_
 
     def allowed(self, left: str, right: str) -> bool:
         """Whether two neighbouring pieces stay apart when their joined text is merged."""
-        if not left:
-            return True
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 1 << 20:
-                self.pairs.clear()
-            known = self.pairs[key] = self.v.merged(left + right) == [left, right]
-        return known
-
-    def step(self, char: str) -> None:
-        """Extends the window by one character."""
-        self.window += char
-        end = len(self.window)
-        ids, window, last, best = self.v.ids, self.window, self.last, self.best
-        chosen, top = None, -np.inf
-        if self.v.bpe:
-            for start in range(max(0, end - self.v.longest), end):
-                piece = window[start:end]
-                if (piece in ids or start == end - 1) and last[start] is not None and self.allowed(last[start], piece):
-                    chosen, top = piece, 0.0
-                    break
-        else:
-            for start in range(max(0, end - self.v.longest), end):
-                piece = window[start:end]
-                id_ = ids.get(piece)
-                if id_ is None and start < end - 1:
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        fits = not left or self.v.merged(left + right) == [left, right]
+        self.pairs[self.number(left) * PAIR + self.number(right) if left else self.number(right) - PAIR] = fits
+        return fits
+
+    def extend_bpe(self, text: str) -> None:
+        """Extends the window; the best last piece is the only one that may follow the best piece before it."""
+        window, last, numbers, endings = self.window, self.last, self.numbers, self.v.endings
+        known, get = self.pairs.get, self.v.ids.get
+        for char in text:
+            window += char
+            end = len(last)
+            for n in endings.get(window[-2:], ()):
+                if n > end:
                     continue
-                score = best[start] + (self.v.scores[id_] if id_ is not None else self.v.unknown_score)
-                if score > top:
-                    chosen, top = piece, score
-        last.append(chosen)
-        best.append(top)
+                id_ = get(window[-n:])
+                if id_ is not None:
+                    fits = known(numbers[end - n] * PAIR + id_)
+                    if fits is None:
+                        fits = self.allowed(last[end - n], window[-n:])
+                    if fits:
+                        last.append(window[-n:])
+                        numbers.append(id_)
+                        break
+            else:
+                last.append(char)
+                numbers.append(get(char, BEYOND + ord(char)))
+        self.window = window
+
+    def extend_unigram(self, text: str) -> None:
+        """Extends the window; the best last piece has the best sum of scores."""
+        window, last, best, ids, endings = self.window, self.last, self.best, self.v.ids, self.v.endings
+        for char in text:
+            window += char
+            end = len(last)
+            id_ = ids.get(char)
+            chosen, top = char, best[end - 1] + (self.v.unknown_score if id_ is None else self.v.scores[id_])
+            for n in endings.get(window[-2:], ()):
+                id_ = ids.get(window[-n:]) if n <= end else None
+                if id_ is not None and best[end - n] + self.v.scores[id_] > top:
+                    chosen, top = window[-n:], best[end - n] + self.v.scores[id_]
+            last.append(chosen)
+            best.append(top)
+        self.window = window
 
     def path(self, end: int) -> list[str]:
         pieces = []
@@ -183,7 +212,7 @@ class Encoder:
     def meeting(self) -> int:
         """The last boundary that the paths from all live boundaries share."""
         end = len(self.window)
-        live = {b for b in range(max(0, end - self.v.longest + 1), end + 1) if self.last[b] is not None}
+        live = set(range(max(0, end - self.v.longest + 1), end + 1))
         while len(live) > 1:
             far = max(live)
             live.discard(far)
@@ -197,16 +226,21 @@ class Encoder:
             out.extend(self.v.fallback(piece) if id_ is None else (id_,))
         if upto:
             kept = self.last[upto]
-            self.window, self.last, self.best = self.window[upto:], self.last[upto:], [b - self.best[upto] for b in self.best[upto:]]
+            self.window, self.last = self.window[upto:], self.last[upto:]
+            if self.v.bpe:
+                self.numbers = self.numbers[upto:]
+            else:
+                self.best = [b - self.best[upto] for b in self.best[upto:]]
             # the committed piece still decides which pieces may follow
             self.last[0] = kept
         return out
 
     def feed(self, text: str) -> list[int]:
         out: list[int] = []
-        for char in text:
-            self.step(char)
-            if len(self.window) >= 4 * self.v.longest:
+        step = 4 * self.v.longest
+        for at in range(0, len(text), step):
+            self.extend(text[at : at + step])
+            if len(self.window) >= step:
                 out += self.commit(self.meeting())
         return out
 
@@ -217,17 +251,28 @@ class Encoder:
 
 
 class Segments(dict):
-    """Ids of cut parts of normalized text, as packed 32-bit numbers; parts are encoded when first asked for."""
+    """Ids of cut parts of normalized text, as packed 32-bit numbers; parts are encoded when first asked for.
+
+    Two generations of at most ``remembered`` parts each: when the young one is full it becomes the old one, and parts
+    found there come back.
+    """
 
     def __init__(self, vocabulary: Vocabulary, remembered: int):
         super().__init__()
-        self.encoder, self.remembered = Encoder(vocabulary), remembered
+        self.encoder, self.remembered, self.old = Encoder(vocabulary), remembered, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.encoder.feed(part) + self.encoder.finish()
-        packed = np.array(ids, dtype=np.int32).tobytes()
+        packed = self.old.get(part)
+        if packed is None:
+            inside = self.encoder.v.inside
+            cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in inside]
+            if cuts:
+                packed = b"".join([self[part[a:b]] for a, b in zip([0, *cuts], [*cuts, len(part)])])
+            else:
+                packed = array("i", self.encoder.feed(part) + self.encoder.finish()).tobytes()
         if len(part) <= 64:
             if len(self) >= self.remembered:
+                self.old = dict(self)
                 self.clear()
             self[part] = packed
         return packed
@@ -265,7 +310,7 @@ def model_bytes(path: str) -> bytes:
     return data
 
 
-def with_ids(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", remembered: int = 300_000, back: str | None = None) -> DataFrame:
+def with_ids(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", remembered: int = 500_000, back: str | None = None) -> DataFrame:
     """``docs`` with the ids of ``text``; with ``back``, also with the text decoded from them in a column of that name."""
     data = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
     at = docs.columns.index(text)
