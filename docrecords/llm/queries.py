@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docrecords.llm.language_hd import op2_language
+from docrecords.llm.lz_fingerprint import op4_lz_fingerprint
 from docrecords.llm.mixing import op9_mixing
 from docrecords.llm.pii import op5_pii
 from docrecords.llm.quality_fm import op3_quality_fm
@@ -15,7 +17,9 @@ from docrecords.llm.simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language": op2_language,
     "op3_quality_fm": op3_quality_fm,
+    "op4_lz_fingerprint": op4_lz_fingerprint,
     "op5_pii": op5_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
