@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docrecords.llm.chat_format import op6_chat_format
 from docrecords.llm.language_hd import op2_language
 from docrecords.llm.lz_fingerprint import op4_lz_fingerprint
 from docrecords.llm.mixing import op9_mixing
 from docrecords.llm.pii import op5_pii
 from docrecords.llm.quality_fm import op3_quality_fm
 from docrecords.llm.quality_rules import op8_quality_rules
+from docrecords.llm.repeats import op7_suffix_repeats
 from docrecords.llm.sentencepiece_stream import op1_sentencepiece
 from docrecords.llm.simhash import op10_simhash
 
@@ -21,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_fm": op3_quality_fm,
     "op4_lz_fingerprint": op4_lz_fingerprint,
     "op5_pii": op5_pii,
+    "op6_chat_format": op6_chat_format,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
