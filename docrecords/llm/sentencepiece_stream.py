@@ -10,7 +10,7 @@ from all live boundaries meet in one, everything up to it is final: its ids are
 
 No piece of a model spans certain places (for instance before a word mark, or around a character that no piece holds). Paths
 always meet there, so texts are cut there first, and the ids of cut parts are remembered, up to twice ``remembered`` per
-task.
+Python worker.
 
 Defined results: null gives null ids; an empty text gives none. Characters outside the vocabulary become byte pieces, or
 the unknown id where a model has none. Decoding gives the text back, but for what the model's own rules change (unknown
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -302,6 +303,13 @@ def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     return raw.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def loaded(model: bytes, remembered: int) -> tuple[Vocabulary, Segments]:
+    """A worker's vocabulary and what it remembers, kept from task to task."""
+    vocabulary = Vocabulary(model)
+    return vocabulary, Segments(vocabulary, remembered)
+
+
 def model_bytes(path: str) -> bytes:
     with open(path, "rb") as file:
         data = file.read(MODEL_BYTES + 1)
@@ -316,8 +324,7 @@ def with_ids(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str =
     at = docs.columns.index(text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(data.value)
-        segments = Segments(vocabulary, remembered)
+        vocabulary, segments = loaded(data.value, remembered)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
@@ -348,7 +355,7 @@ def with_text(encoded: DataFrame, model: str = MODEL, ids: str = "ids", text: st
     at = encoded.columns.index(ids)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(data.value)
+        vocabulary, _ = loaded(data.value, 1)
         for batch in batches:
             texts = [None if x is None else decode(x, vocabulary) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
