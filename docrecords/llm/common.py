@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,27 @@ from pyspark.sql import functions as F
 BLANK = r"[ \t\n\x0B\f\r]"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@lru_cache(maxsize=8)
+def _sent(application: str) -> None:
+    """Sends this package to the executors of an application, for those that have no installed copy."""
+    root = Path(__file__).parent.parent
+    name = Path(tempfile.mkdtemp(prefix="docrecords-")) / "docrecords.zip"
+    with zipfile.ZipFile(name, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    SparkSession.active().sparkContext.addPyFile(str(name))
+
+
+def importable(spark: SparkSession) -> None:
+    """Functions that run in Python on executors are found there by name, so that what they remember outlives a task."""
+    _sent(spark.sparkContext.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,10 +53,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of lineage that outlives executors."""
+    """Write ``df`` to the shared folder and read it back: a cut of lineage that outlives executors.
+
+    Once the rows are written nothing reads the shuffles that led to them, so their files go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

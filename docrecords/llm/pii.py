@@ -302,8 +302,11 @@ def listed(spans: str) -> Column:
     return F.array_join(one, ",")
 
 
-def redacted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, of the first one's kind."""
+def redacted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_chars: str | None = None) -> DataFrame:
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, of the first one's kind.
+
+    ``n_chars``: a column with the length of the text, which is set anew where the text changes.
+    """
     out = with_spans(docs, text, doc_id)
     by_place = F.sort_array(F.transform("_p_spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     out = out.withColumn("_p_order", by_place)
@@ -320,7 +323,11 @@ def redacted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     whole = F.aggregate("_p_order", start, step, lambda acc: F.concat(acc["done"], F.substring(F.col("_p_text"), acc["to"] + 1, F.length("_p_text"))))
     clean = F.when(F.size("_p_order") > 0, whole).otherwise(F.col(text))
-    return out.withColumn(text, clean).select(*docs.columns)
+    out = out.withColumn(text, clean)
+    if n_chars:
+        kind = docs.schema[n_chars].dataType
+        out = out.withColumn(n_chars, F.when(F.size("_p_order") > 0, F.length(text).cast(kind)).otherwise(F.col(n_chars)))
+    return out.select(*docs.columns)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docrecords.llm.common import table
+from docrecords.llm.common import importable, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -320,6 +320,7 @@ def model_bytes(path: str) -> bytes:
 
 def with_ids(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", remembered: int = 500_000, back: str | None = None) -> DataFrame:
     """``docs`` with the ids of ``text``; with ``back``, also with the text decoded from them in a column of that name."""
+    importable(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
     at = docs.columns.index(text)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrecords.llm.common import stored, table
+from docrecords.llm.common import importable, stored, table
 from docrecords.llm.components import components
 
 SEED = 42
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text: s
             fps = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    importable(docs.sparkSession)
     pair = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = pair.schema["doc_id"].dataType.simpleString()
     return pair.mapInArrow(each, f"doc_id {kind}, fp long")
