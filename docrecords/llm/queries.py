@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from docrecords.llm.chat_format import op6_chat_format
 from docrecords.llm.language_hd import op2_language
 from docrecords.llm.lz_fingerprint import op4_lz_fingerprint
@@ -28,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+#: hashes, fitted models, fingerprints and a tokenizer have no SQL form; their tests compare with brute force
+SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
