@@ -1,7 +1,8 @@
-"""CSS selectors: compiled to XPath, to a Catalyst predicate on a node, or tested against open elements."""
+"""CSS selectors: a Catalyst predicate on a node, or a test of parsed elements; to XPath where a path goes on from one."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -10,11 +11,24 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_NAME = r"(?:[\w-]|\\.|[^\x00-\x7f])+"
 _PART = re.compile(
-    r"(?P<tag>\*|[A-Za-z_][\w-]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)"
+    rf"(?P<tag>\*|(?:[A-Za-z_]|\\.|[^\x00-\x7f])(?:[\w-]|\\.|[^\x00-\x7f])*)|\.(?P<cls>{_NAME})|#(?P<id>{_NAME})"
     r"|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]"
-    r"|:(?P<pseudo>[a-z-]+)(?:\((?P<arg>[^)]*)\))?"
+    r"|:(?P<pseudo>[a-z-]+)(?P<open>\()?"
 )
+# pseudo-classes that are settled when an element opens, and those that need what follows it
+EARLY = ("first-child", "nth-child", "first-of-type", "nth-of-type", "not", "is", "where", "root")
+LATE = ("last-child", "nth-last-child", "only-child", "last-of-type", "nth-last-of-type", "only-of-type", "empty", "contains")
+
+
+def css_column(css: str) -> str:
+    """Name of the column with the nodes of a selector that is evaluated while parsing."""
+    return f"_css_{hashlib.md5(css.encode()).hexdigest()[:16]}"
+
+
+def _plain(name: str) -> str:
+    return re.sub(r"\\(.)", r"\1", name)
 
 
 def _quote(s: str) -> str:
@@ -37,10 +51,11 @@ class Compound:
     def simple(self) -> bool:
         return not self.pseudos
 
-    def check_streamable(self) -> None:
-        for name, _ in self.pseudos:
-            if name not in ("first-child", "nth-child", "not"):
-                raise ValueError(f":{name} cannot be used to exclude elements")
+    @property
+    def late(self) -> bool:
+        """Whether later siblings or the content decide."""
+        inner = (path for name, arg in self.pseudos if name in ("not", "is", "where") for path in arg)
+        return any(name in LATE for name, _ in self.pseudos) or any(c.late for path in inner for _, c in path)
 
     def xpath(self, previous: bool = False) -> str:
         tests = [_attr_xpath(*a) for a in self.attrs]
@@ -49,18 +64,18 @@ class Compound:
                 tests.append("count(preceding-sibling::*) = 0")
             elif name == "last-child":
                 tests.append("count(following-sibling::*) = 0")
-            elif name == "nth-child":
-                tests.append(f"count(preceding-sibling::*) = {int(arg) - 1}")
+            elif name == "nth-child" and arg[0] == 0:
+                tests.append(f"count(preceding-sibling::*) = {arg[1] - 1}")
             elif name == "only-child":
                 tests.append("count(../*) = 1")
             elif name == "empty":
                 tests.append("not(*) and not(string-length())")
-            elif name == "not":
-                tests.append(f"not({parse_compound(arg).condition()})")
+            elif name == "not" and all(len(path) == 1 for path in arg):
+                tests += [f"not({path[0][1].condition()})" for path in arg]
             elif name == "contains":
-                tests.append(f"contains(., {_quote(arg.strip(chr(34) + chr(39)))})")
+                tests.append(f"contains(., {_quote(arg)})")
             else:
-                raise ValueError(f"unsupported pseudo-class :{name}")
+                raise ValueError(f"a path cannot go on from :{name}")
         if previous:
             return f"*[1]/self::{self.tag}" + "".join(f"[{t}]" for t in tests)
         return self.tag + "".join(f"[{t}]" for t in tests)
@@ -79,14 +94,26 @@ class Compound:
             return False
         if not all(_attr_test(el.attrs.get(name), op, value) for name, op, value in self.attrs):
             return False
-        for name, arg in self.pseudos:
-            if name == "first-child" and el.place != 1:
-                return False
-            if name == "nth-child" and el.place != int(arg):
-                return False
-            if name == "not" and parse_compound(arg).matches_open(el):
-                return False
-        return True
+        return all(_pseudo_test(el, name, arg) for name, arg in self.pseudos)
+
+
+def _pseudo_test(el, name: str, arg) -> bool:
+    if name in ("not", "is", "where"):
+        return any(matches_path(el, path) for path in arg) != (name == "not")
+    if name == "contains":
+        return arg in el.text()
+    if name == "empty":
+        return el.empty
+    if name == "root":
+        return el.up is None
+    of_type = name.endswith("of-type")
+    before = el.type_place if of_type else el.place
+    if name.startswith("only"):
+        return before == 1 and (el.type_after if of_type else el.after) == 0
+    if name.startswith(("last", "nth-last")):
+        before = 1 + (el.type_after if of_type else el.after)
+    step, first = arg if name.startswith("nth") else (0, 1)
+    return before == first if step == 0 else (before - first) % abs(step) == 0 and (before - first) * step >= 0
 
 
 Path = list[tuple[str, Compound]]
@@ -133,52 +160,113 @@ def _attr_test(attr: str | None, op: str, value: str) -> bool:
     }[op]()
 
 
+def _closing(css: str, at: int) -> int:
+    """Place of the parenthesis that closes the one before ``at``."""
+    depth, quote = 1, ""
+    while at < len(css):
+        c = css[at]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == "\\":
+            at += 1
+        else:
+            depth += {"(": 1, ")": -1}.get(c, 0)
+            if not depth:
+                return at
+        at += 1
+    raise ValueError(f"unsupported selector: {css!r}")
+
+
+def _argument(name: str, arg: str):
+    if name in ("not", "is", "where"):
+        return tuple(tuple(path) for path in parse_css(arg))
+    if name.startswith("nth"):
+        text = {"odd": "2n+1", "even": "2n"}.get(arg.strip().lower(), arg.replace(" ", "").lower())
+        m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", text)
+        if not m or not text:
+            raise ValueError(f"unsupported selector: :{name}({arg})")
+        step = 0 if m[1] is None else int(m[1] + "1" if m[1] in ("", "+", "-") else m[1])
+        return step, int(m[2] or 0)
+    return arg.strip().strip("\"'")
+
+
 def parse_compound(css: str) -> Compound:
     tag, attrs, pseudos, at = "*", [], [], 0
-    for part in _PART.finditer(css):
-        if part.start() != at:
+    while at < len(css):
+        part = _PART.match(css, at)
+        if not part:
             break
         at = part.end()
         if part["tag"]:
-            tag = part["tag"].lower()
+            tag = _plain(part["tag"]).lower()
         elif part["cls"]:
-            attrs.append(("class", "~=", part["cls"]))
+            attrs.append(("class", "~=", _plain(part["cls"])))
         elif part["id"]:
-            attrs.append(("id", "=", part["id"]))
+            attrs.append(("id", "=", _plain(part["id"])))
         elif part["attr"]:
             values = (part["dq"], part["sq"], part["bare"], "")
             attrs.append((part["attr"].lower(), part["op"] or "", next(v for v in values if v is not None)))
         else:
-            pseudos.append((part["pseudo"], part["arg"] or ""))
+            name, arg = part["pseudo"], ""
+            if part["open"]:
+                end = _closing(css, at)
+                arg, at = css[at:end], end + 1
+            if name not in EARLY + LATE:
+                raise ValueError(f"unsupported pseudo-class :{name}")
+            pseudos.append((name, _argument(name, arg)))
     if at != len(css) or not css:
         raise ValueError(f"unsupported selector: {css!r}")
     return Compound(tag, tuple(attrs), tuple(pseudos))
 
 
+def _tokens(css: str) -> list[str]:
+    """Compounds, combinators and commas; what stands in brackets, parentheses or quotes or is escaped stays whole."""
+    out, at, start = [], 0, 0
+
+    def close() -> None:
+        if css[start:at]:
+            out.append(css[start:at])
+
+    while at < len(css):
+        c = css[at]
+        if c == "\\":
+            at += 2
+        elif c == "(":
+            at = _closing(css, at + 1) + 1
+        elif c == "[":
+            end = re.compile(r"\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]").match(css, at)
+            if not end:
+                raise ValueError(f"unsupported selector: {css!r}")
+            at = end.end()
+        elif c in ">+~," or c.isspace():
+            close()
+            if not c.isspace():
+                out.append(c)
+            at += 1
+            start = at
+        else:
+            at += 1
+    close()
+    return out
+
+
 def parse_css(css: str) -> list[Path]:
     """Alternatives of a selector; each is a list of (combinator, compound) from left to right."""
-    shielded: list[str] = []
-
-    def shield(m: re.Match) -> str:
-        shielded.append(m[0])
-        return f"\0{len(shielded) - 1}\0"
-
-    # brackets and parentheses may hold blanks, commas and combinators
-    text = re.sub(r"\[[^\]]*\]|\([^)]*\)", shield, css.strip())
-    paths = []
-    for alternative in text.split(","):
-        path: Path = []
-        combinator = " "
-        for token in re.findall(r"[>+~]|[^\s>+~]+", alternative):
-            if token in ">+~":
-                combinator = token
-                continue
-            token = re.sub("\0(\\d+)\0", lambda m: shielded[int(m[1])], token)
-            path.append((combinator, parse_compound(token)))
+    paths: list[Path] = [[]]
+    combinator = " "
+    for token in _tokens(css):
+        if token == ",":
+            paths.append([])
+            combinator = " "
+        elif token in ">+~":
+            combinator = token
+        else:
+            paths[-1].append((combinator, parse_compound(token)))
             combinator = " "
-        if not path:
-            raise ValueError(f"unsupported selector: {css!r}")
-        paths.append(path)
+    if not all(paths) or combinator != " ":
+        raise ValueError(f"unsupported selector: {css!r}")
     return paths
 
 

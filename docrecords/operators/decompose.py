@@ -9,6 +9,7 @@ Every page becomes one row with three page-local columns:
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 from collections.abc import Iterator, Sequence
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from docrecords.functions.urls import resolve_link
 from docrecords.operators import css as _css
-from docrecords.operators.css import Compound, matches_path, parse_css
+from docrecords.operators.css import Compound, css_column, matches_path, parse_css
 
 # ship the page parser with its tasks, so that executors need no installed copy of this package
 for _module in (_css, sys.modules[__name__]):
@@ -83,7 +84,7 @@ TOKEN = re.compile(
 ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 REFERENCE = re.compile(r"&(?:#(\d+);?|#[xX]([0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*);)")
 CODES = {**name2codepoint, "apos": 39}
-# longer names occur in broken markup only, and XML parsers refuse them
+# XML parsers refuse very long names: longer ones are cut and told apart by their digest
 LONGEST_NAME = 200
 NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
@@ -91,12 +92,19 @@ NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "attrs", "nid", "up", "left", "place", "kids", "scope", "lo", "skip", "run", "bare")
+    __slots__ = (
+        "tag", "attrs", "nid", "up", "left", "place", "type_place", "types", "kids", "scope", "lo", "skip", "run", "bare",
+        "after", "type_after", "empty", "text",
+    )
 
     def __init__(self, tag, attrs, nid, up, scope, lo, skip):
         self.tag, self.attrs, self.nid, self.up, self.scope, self.lo, self.skip = tag, attrs, nid, up, scope, lo, skip
         self.left = up.kids if up else None
         self.place = self.left.place + 1 if self.left else 1
+        self.types = {}  # child elements so far, by name
+        if up:
+            up.types[tag] = up.types.get(tag, 0) + 1
+        self.type_place = up.types[tag] if up else 1
         self.kids = None  # latest child element
         self.run = False  # the latest item inside is text
         self.bare = True  # nothing inside yet
@@ -133,20 +141,55 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def parse_page(html: str, out: _Columns, exclude: Sequence[list[Compound]], keep: frozenset[str]) -> None:
-    """Append the nodes and fragments of one page. Excluded subtrees leave no trace, the text around them joins."""
+def settle(elements: list[_Open], cols: _Columns, base: int, frag_base: int) -> None:
+    """What is known of the elements of a page once it is read, among those that are left: places, later siblings, texts."""
+    for el in elements:
+        el.kids, el.types = None, {}
+    for el in elements:
+        up = el.up
+        el.left = up.kids if up else None
+        el.place = el.left.place + 1 if el.left else 1
+        if up:
+            up.types[el.tag] = up.types.get(el.tag, 0) + 1
+            up.kids = el
+        el.type_place = up.types[el.tag] if up else 1
+        at = base + el.nid
+
+        def text(lo: int = frag_base + cols.lo[at], n: int = cols.n[at]) -> str:
+            return "".join(cols.frag[lo : lo + n])
+
+        el.text = text
+    for el in elements:
+        el.after = el.up.kids.place - el.place if el.up else 0
+        el.type_after = el.up.types[el.tag] - el.type_place if el.up else 0
+        el.empty = el.kids is None and cols.n[base + el.nid] == 0
+
+
+def parse_page(
+    html: str, out: _Columns, exclude: Sequence[list[tuple[str, Compound]]], keep: frozenset[str], dropped: frozenset[int] = frozenset(),
+    opened: list[_Open] | None = None,
+) -> None:
+    """Append the nodes and fragments of one page. Excluded subtrees leave no trace, the text around them joins.
+
+    ``dropped``: elements to exclude by their number in order of opening. ``opened`` gets the elements that are left.
+    """
     base, frag_base = len(out.parent), len(out.frag)
+    count = 0
     stack: list[_Open] = []
     seen_head = seen_body = False
     anchor_seen = -1
 
     def push(tag: str, attrs: dict[str, str]) -> None:
-        nonlocal anchor_seen
+        nonlocal anchor_seen, count
         up = stack[-1] if stack else None
         skip = bool(up and up.skip)
         el = _Open(tag, attrs, len(out.parent) - base, up, up.scope if up else -1, len(out.frag), skip)
         if exclude and not skip:
             el.skip = any(matches_path(el, path) for path in exclude)
+        el.skip = el.skip or count in dropped
+        count += 1
+        if opened is not None and not el.skip:
+            opened.append(el)
         if up:
             up.kids = el
         if not el.skip:
@@ -276,6 +319,21 @@ def parse_page(html: str, out: _Columns, exclude: Sequence[list[Compound]], keep
     pop_to(0)
 
 
+def short_name(name: str) -> str:
+    """A name as it is written in the XML forms."""
+    if len(name) <= LONGEST_NAME:
+        return name
+    return f"{name[:LONGEST_NAME - 33]}_{hashlib.md5(name.encode()).hexdigest()}"
+
+
+def _dropped(html: str, paths: Sequence[list[tuple[str, Compound]]]) -> frozenset[int]:
+    """Elements that exclusions select which need the whole page, by number."""
+    cols, opened = _Columns(), []
+    parse_page(html, cols, (), frozenset(), opened=opened)
+    settle(opened, cols, 0, 0)
+    return frozenset(i for i, el in enumerate(opened) if any(matches_path(el, p) for p in paths))
+
+
 def _xml(cols: _Columns, lo: int, hi: int, frag_lo: int, mark_text: bool) -> str:
     """Well-formed XML of the nodes ``lo..hi``; every element carries its node id."""
     parts: list[str] = []
@@ -292,10 +350,10 @@ def _xml(cols: _Columns, lo: int, hi: int, frag_lo: int, mark_text: bool) -> str
             s = esc(cols.frag[frag_lo + cols.lo[lo + nid]])
             parts.append(f'<_t nid="{nid}">{s}</_t>' if mark_text else s)
             continue
-        tag = re.sub(r"[^\w.-]", "_", tag[:LONGEST_NAME])
+        tag = re.sub(r"[^\w.-]", "_", short_name(tag))
         attrs = {"nid": str(nid)}
         for name, value in (cols.attrs[lo + nid] or {}).items():
-            name = re.sub(r"[^\w.-]", "_", name[:LONGEST_NAME])
+            name = re.sub(r"[^\w.-]", "_", short_name(name))
             if re.match(r"[A-Za-z_]", name):
                 attrs.setdefault(name, value)
         parts.append(f"<{tag}" + "".join(f' {k}="{esc(v)}"' for k, v in attrs.items()) + ">")
@@ -315,13 +373,20 @@ def decompose(
     keep_tags: Sequence[str] = (),
     xml: bool = False,
     xml_text: bool = False,
+    css: Sequence[str] = (),
     body: str = "html",
 ) -> DataFrame:
-    """Replace the ``body`` column by ``nodes`` and ``frags`` (and the XML forms asked for). No shuffle."""
-    paths = [path for css in exclude for path in parse_css(css)]
-    for path in paths:
-        for _, compound in path:
-            compound.check_streamable()
+    """Replace the ``body`` column by ``nodes`` and ``frags`` (and the XML forms asked for). No shuffle.
+
+    ``css``: selectors that are evaluated here, on the parsed elements; the ids of their nodes are in ``css_column``.
+    """
+    paths = [path for selector in exclude for path in parse_css(selector)]
+    late = any(compound.late for path in paths for _, compound in path)
+    css = list(dict.fromkeys(css))
+    by_tag: dict[str, list[tuple[int, list]]] = {}
+    for number, selector in enumerate(css):
+        for path in parse_css(selector):
+            by_tag.setdefault(path[-1][1].tag, []).append((number, path))
     keep = frozenset(keep_tags)
     carried = [f for f in pages.schema.fields if f.name != body]
     schema = T.StructType(
@@ -329,6 +394,7 @@ def decompose(
         + [T.StructField("nodes", T.ArrayType(NODE)), T.StructField("frags", T.ArrayType(FRAG))]
         + ([T.StructField("xml", T.StringType())] if xml else [])
         + ([T.StructField("xml_text", T.StringType())] if xml_text else [])
+        + [T.StructField(css_column(selector), T.ArrayType(T.IntegerType())) for selector in css]
     )
     names = [f.name for f in carried]
     i32, text_type = pa.int32(), pa.string()
@@ -338,8 +404,20 @@ def decompose(
         starts, frag_starts = [0], [0]
         plain: list[str] = []
         marked: list[str] = []
+        picked: list[list[list[int]]] = [[] for _ in css]
         for html in batch.column(batch.schema.get_field_index(body)).to_pylist():
-            parse_page(html or "", cols, paths, keep)
+            opened: list[_Open] | None = [] if css else None
+            dropped = _dropped(html or "", paths) if late else frozenset()
+            parse_page(html or "", cols, () if late else paths, keep, dropped, opened)
+            if css:
+                settle(opened, cols, starts[-1], frag_starts[-1])
+                found: list[list[int]] = [[] for _ in css]
+                for el in opened:
+                    for number, path in (*by_tag.get(el.tag, ()), *by_tag.get("*", ())):
+                        if (not found[number] or found[number][-1] != el.nid) and matches_path(el, path):
+                            found[number].append(el.nid)
+                for column, nids_of_page in zip(picked, found):
+                    column.append(nids_of_page)
             starts.append(len(cols.parent))
             frag_starts.append(len(cols.frag))
             if xml:
@@ -364,6 +442,7 @@ def decompose(
         columns.append(_struct_list(frag_starts, frags, FRAG.names))
         columns += [pa.array(plain, text_type)] if xml else []
         columns += [pa.array(marked, text_type)] if xml_text else []
+        columns += [pa.array(column, pa.list_(i32)) for column in picked]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,10 +487,11 @@ def node_rows(decomposed: DataFrame, *keys: str) -> DataFrame:
     return decomposed.select(*keys, F.explode("nodes").alias("node")).select(*keys, "node.*")
 
 
-def page_links(decomposed: DataFrame, url: str = "url") -> DataFrame:
+def page_links(decomposed: DataFrame, url: str = "url", source: str | None = None) -> DataFrame:
     """Distinct absolute links of every page: ``src_url, dst_url``. Page-local, so no shuffle.
 
-    Relative links start from the page's ``<base>`` when it has one.
+    Relative links start from the page's ``<base>`` when it has one. ``source`` is the URL that a link is said to come
+    from, where it is not the one that it is resolved against: of a page that was redirected, the one asked for.
     """
     raw = F.flatten(
         F.transform(
@@ -421,7 +501,7 @@ def page_links(decomposed: DataFrame, url: str = "url") -> DataFrame:
     )
     bases = F.filter("nodes", lambda n: (n.tag == "base") & n.attrs["href"].isNotNull())
     found = decomposed.select(
-        F.col(url).alias("src_url"), F.get(bases, F.lit(0)).attrs["href"].alias("_base"), F.explode(F.array_distinct(raw)).alias("_link")
+        F.col(source or url).alias("src_url"), F.col(url).alias("_url"), F.get(bases, F.lit(0)).attrs["href"].alias("_base"), F.explode(F.array_distinct(raw)).alias("_link")
     )
-    base = F.when(F.col("_base").isNull(), F.col("src_url")).otherwise(resolve_link(F.col("_base"), F.col("src_url")))
+    base = F.when(F.col("_base").isNull(), F.col("_url")).otherwise(resolve_link(F.col("_base"), F.col("_url")))
     return found.withColumn("_base", base).select("src_url", resolve_link(F.col("_link"), F.col("_base")).alias("dst_url"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docrecords.functions.text import flag_text, restore_apostrophes
@@ -75,20 +78,38 @@ def add_batches(
     return docs.withColumn("batch", (F.floor(F.col("_sent") / size) + 1).cast("int")).drop("_sent")
 
 
-def send_batches(docs: DataFrame, send: Callable[[list[dict]], None], size: int = BATCH) -> None:
-    """Hand the documents to ``send`` in lists of at most ``size``, straight from the tasks."""
-
-    def run(rows: Iterable) -> None:
-        batch: list[dict] = []
-        for row in rows:
-            batch.append(row.asDict(recursive=True))
-            if len(batch) == size:
-                send(batch)
-                batch = []
-        if batch:
-            send(batch)
-
-    docs.foreachPartition(run)
+def send_batches(
+    docs: DataFrame, send: Callable[[pa.Table], None], keys: Sequence[str] = ("page_id",), order: Sequence[str] = ("position",), size: int = BATCH
+) -> int:
+    """Hand the documents to ``send`` from the tasks, as tables of at most ``size`` rows of one page, in order.
+
+    Pages are brought together and sorted by Spark; a task holds one page's latest rows at a time. Gives the number of tables.
+    """
+    sorted_docs = docs.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, page, sent = None, None, 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keyed = table.select(list(keys)).to_pylist()
+            cuts = [0, *(i for i in range(1, len(keyed)) if keyed[i] != keyed[i - 1]), len(keyed)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if held is not None and keyed[lo] != page:
+                    send(held)
+                    held, sent = None, sent + 1
+                page, rows = keyed[lo], table.slice(lo, hi - lo)
+                held = rows if held is None else pa.concat_tables([held, rows])
+                while held.num_rows > size:
+                    send(held.slice(0, size))
+                    held, sent = held.slice(size), sent + 1
+        if held is not None:
+            send(held)
+            sent += 1
+        yield pa.RecordBatch.from_pydict({"sent": [sent]})
+
+    return sorted_docs.mapInArrow(run, "sent long").agg(F.coalesce(F.sum("sent"), F.lit(0))).first()[0]
 
 
 def add_extra(docs: DataFrame, extra: DataFrame) -> DataFrame:
@@ -102,8 +123,11 @@ def latest_by_id(docs: DataFrame, version: Column) -> DataFrame:
     return docs.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New documents replace old ones with the same id."""
+def upsert(old: DataFrame, new: DataFrame, version: Column | None = None) -> DataFrame:
+    """New documents replace old ones with the same id. Of new ones that share an id one stays: the one with the highest
+    ``version``, by default the largest hash of its plain columns."""
+    plain = [c for c, kind in new.dtypes if not kind.startswith(("map", "struct", "array"))]
+    new = latest_by_id(new, F.xxhash64(*plain) if version is None else version)
     kept = old.join(new.select("objectID"), "objectID", "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
@@ -122,8 +146,45 @@ def partial_update(old: DataFrame, new: DataFrame, only_urls: Sequence[str]) ->
     return upsert(delete_prefixes(old, only_urls), new)
 
 
-def rebuild(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").parquet(path)
+def rebuild(docs: DataFrame, root: str, number: int | None = None) -> int:
+    """Publish ``docs`` as the next version of the index at ``root``, or as the given one.
+
+    The version is written first, into a folder of its own. Only when it is whole is it entered in the list of published
+    versions, so a job that fails half-way changes nothing for readers.
+    """
+    spark = docs.sparkSession
+    number = (published(spark, root) or 0) + 1 if number is None else number
+    folder = f"version={number}-{uuid.uuid4().hex}"
+    docs.write.parquet(f"{root}/{folder}")
+    spark.createDataFrame([(number, folder)], _PUBLISHED).coalesce(1).write.mode("append").parquet(f"{root}/published")
+    return number
+
+
+_PUBLISHED = "number long, folder string"
+
+
+def _versions(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_PUBLISHED).parquet(f"{root}/published")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def published(spark: SparkSession, root: str) -> int | None:
+    """Number of the latest published version."""
+    versions = _versions(spark, root)
+    return None if versions is None else versions.agg(F.max("number")).first()[0]
+
+
+def read_index(spark: SparkSession, root: str) -> DataFrame:
+    """The latest published version."""
+    versions = _versions(spark, root)
+    if versions is None:
+        raise ValueError(f"nothing is published at {root}")
+    latest = versions.orderBy(F.desc("number"), F.desc("folder")).first()
+    return spark.read.parquet(f"{root}/{latest['folder']}")
 
 
 def summary(records: DataFrame, url: str = "url_without_anchor", flag: str | None = None) -> DataFrame:

@@ -59,11 +59,12 @@ def with_words(docs: DataFrame, query: str, columns: Sequence[str] = tuple(TEXT_
     """Documents that contain all words of the query, whatever their case. A plain filter, no shuffle."""
     have = set(docs.columns)
     text = F.lower(F.concat_ws(" ", *[c for c in columns if c in have]))
-    # an ASCII word cannot occur as a token unless it occurs as text, which is much cheaper to test
-    tokens = F.split(text, r"[^\p{L}\p{N}]+")
-    for word in dict.fromkeys(query.lower().split()):
-        docs = docs.filter(F.contains(text, F.lit(word)) & F.array_contains(tokens, word))
-    return docs
+    between = r"[^\p{L}\p{N}]+"
+    # the query is cut and lowered like the text
+    words = F.filter(F.split(F.lower(F.lit(query)), between), lambda w: w != "")
+    # a word cannot be a token unless it occurs in the text, which is much cheaper to test
+    docs = docs.filter(F.forall(words, lambda w: F.contains(text, w)))
+    return docs.filter(F.size(F.array_except(words, F.split(text, between))) == 0)
 
 
 def search(docs: DataFrame, query: str, k: int = 20) -> DataFrame:

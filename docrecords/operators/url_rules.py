@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrecords.functions.urls import netloc, variable_names
@@ -24,42 +24,35 @@ def normalise_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def expand_variables(rules: DataFrame, max_variables: int = 8) -> DataFrame:
+def expand_variables(rules: DataFrame) -> DataFrame:
     """One rule per combination of variable values, the first variable varying slowest.
 
     ``variables map<string, array<string>>`` holds the values. Adds ``url_attributes`` and ``original_url``; ``path``
-    orders the results of one rule.
+    orders the results of one rule. Combinations grow inside the row, one variable after the other.
     """
-    out = rules.withColumns(
-        {
-            "original_url": F.col("url"),
-            "_names": F.array_distinct(variable_names(F.col("url"))),
-            "url_attributes": F.create_map().cast("map<string,string>"),
-            "path": F.array().cast("array<int>"),
-        }
-    )
-    too_many = F.raise_error(F.concat(F.lit("too many variables: "), F.col("url"))).cast("array<string>")
-    out = out.withColumn("_names", F.when(F.size("_names") <= max_variables, F.col("_names")).otherwise(too_many))
     missing = F.raise_error(F.concat(F.lit("missing values for a variable of "), F.col("url"))).cast("array<string>")
-    for step in range(max_variables):
-        name = F.get("_names", F.lit(step))
-        values = F.when(name.isNull(), F.array(F.lit(None).cast("string"))).otherwise(
-            F.coalesce(F.col("variables")[name], missing)
-        )
-        carried = [c for c in out.columns]
-        out = out.select(*carried, name.alias("_name"), F.posexplode(values).alias("_ix", "_value"))
-        is_set = F.col("_name").isNotNull()
-        written = F.replace(F.col("url"), F.concat(F.lit("(?P<"), F.col("_name"), F.lit(">.*?)")), F.col("_value"))
-        out = out.withColumns(
-            {
-                "url": F.when(is_set, written).otherwise(F.col("url")),
-                "url_attributes": F.when(
-                    is_set, F.map_concat("url_attributes", F.create_map("_name", "_value"))
-                ).otherwise(F.col("url_attributes")),
-                "path": F.when(is_set, F.array_append("path", F.col("_ix"))).otherwise(F.col("path")),
-            }
-        ).drop("_name", "_ix", "_value")
-    return out.drop("_names")
+    kind = "struct<url:string,attributes:map<string,string>,path:array<int>>"
+    first = F.struct(F.col("url").alias("url"), F.create_map().alias("attributes"), F.array().alias("path")).cast(kind)
+
+    def with_value(done: Column, name: Column):
+        def written(value: Column, place: Column) -> Column:
+            url = F.replace(done["url"], F.concat(F.lit("(?P<"), name, F.lit(">.*?)")), value)
+            attributes = F.map_concat(done["attributes"], F.create_map(name, value))
+            return F.struct(url.alias("url"), attributes.alias("attributes"), F.array_append(done["path"], place).alias("path")).cast(kind)
+
+        return written
+
+    def one_more(found: Column, name: Column) -> Column:
+        values = F.coalesce(F.col("variables")[name], missing)
+        return F.flatten(F.transform(found, lambda done: F.transform(values, with_value(done, name))))
+
+    names = F.array_distinct(variable_names(F.col("url")))
+    found = F.aggregate(names, F.array(first).cast(f"array<{kind}>"), lambda acc, name: one_more(acc, name).cast(f"array<{kind}>"))
+    kept = [c for c in rules.columns if c != "url"]
+    out = rules.select(*kept, F.col("url").alias("original_url"), F.explode(found).alias("_made"))
+    return out.select(
+        F.col("_made.url").alias("url"), *kept, "original_url", F.col("_made.attributes").alias("url_attributes"), F.col("_made.path").alias("path")
+    )
 
 
 def facet_names(rules: DataFrame) -> DataFrame:

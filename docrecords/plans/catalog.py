@@ -255,7 +255,7 @@ SELECT page_id, {_ITEM} AS title, nullif(array_to_string(items, ' '), '') AS nav
 )
 def page_texts(spark, folder):
     """Page-wide texts of a plain and of a path selector."""
-    parsed = decompose(S.pages(spark, folder).select("page_id", "html"), xml=True)
+    parsed = decompose(S.pages(spark, folder).select("page_id", "html"), css=["nav > ul li a"])
     chars = ".,;:§¶"
     items = select_nids(Selector("nav > ul li a"))
     texts = F.filter(
@@ -554,7 +554,7 @@ def emission_batches(spark, folder):
     """Number of the batch of 50 that a document is sent in."""
     path = scratch(spark, "index")
     I.rebuild(event_doc_columns(S.event_docs(spark, folder)), path)
-    return I.add_batches(spark.read.parquet(path), ["page_id"], "position", chunk=1_000_000)
+    return I.add_batches(I.read_index(spark, path), ["page_id"], "position", chunk=1_000_000)
 
 
 @query(DOC_CTES + "SELECT url_without_anchor, CAST(count(*) AS BIGINT) AS records FROM docs GROUP BY url_without_anchor")
@@ -584,8 +584,12 @@ def _old_and_new(spark, folder):
     + f', new AS ({_NEW}) SELECT * FROM new UNION ALL SELECT * FROM ({_OLD}) o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n."objectID" = o."objectID")'
 )
 def upserted_index(spark, folder):
-    """New documents replace old ones with the same id."""
-    return I.upsert(*_old_and_new(spark, folder))
+    """New documents replace old ones with the same id; a new one that comes twice is stored once."""
+    path = scratch(spark, "upsert")
+    S.event_docs(spark, folder).select("objectID", "url", "content", "position", "type").write.parquet(path)
+    docs = spark.read.parquet(path)
+    new = docs.filter("type = 'content'").drop("type").withColumn("content", F.concat("content", F.lit(" (new)")))
+    return I.upsert(docs.drop("type"), new.unionAll(new))
 
 
 @query(
@@ -620,7 +624,7 @@ def rebuilt_index(spark, folder):
     """The index written anew and read back."""
     path = scratch(spark, "index")
     I.rebuild(event_doc_columns(S.event_docs(spark, folder)), path)
-    return spark.read.parquet(path)
+    return I.read_index(spark, path)
 
 
 _RANK = 'page_rank DESC, level DESC, position ASC, "objectID" ASC'
@@ -1057,7 +1061,7 @@ FROM pages, (VALUES ('en', 0), ('fr', 1), ('de', 2), ('es', 3)) l(lang, i), (VAL
 )
 def expanded_rules(spark, folder):
     """Every combination of the URL variables written out."""
-    rules = R.expand_variables(_rules(spark, folder), max_variables=2)
+    rules = R.expand_variables(_rules(spark, folder))
     attrs = F.col("url_attributes")
     return rules.select("ord", "url", attrs["lang"].alias("lang"), attrs["year"].alias("year"), F.array_join("path", ",").alias("path"))
 
@@ -1065,7 +1069,7 @@ def expanded_rules(spark, folder):
 @query("SELECT 'lang' AS facet FROM pages UNION SELECT 'year' FROM pages")
 def facets(spark, folder):
     """Names of the URL variables in use."""
-    return R.facet_names(R.expand_variables(_rules(spark, folder), max_variables=2))
+    return R.facet_names(R.expand_variables(_rules(spark, folder)))
 
 
 @query(f"SELECT {_HOST} AS domain, min(page_id) AS ord FROM pages GROUP BY 1")
@@ -1170,18 +1174,25 @@ def selector_sets(spark, folder):
 def streamed_index(spark, folder):
     """Pages read as a stream; every micro-batch goes through the batch plan into the index."""
     path, state = scratch(spark, "stream-index"), scratch(spark, "stream-state")
-    source = stream.page_stream(spark, f"{folder}/pages*.parquet")
+    source = stream.page_stream(spark, f"{folder}/pages.parquet")
     running = stream.stream_records(source, S.PAGE_SPEC, stream.batch_writer(path), state)
     running.awaitTermination()
     return page_doc_columns(stream.current_docs(spark, path))
 
 
-@query(f"SELECT DISTINCT sha1('GET' || regexp_replace({_CANON}, '(https?)(.*)', '\\2')) AS fp FROM pages")
+@query(
+    f"""
+SELECT min(page_id) AS page_id, fp FROM (SELECT page_id, sha1('GET' || regexp_replace({_CANON}, '(https?)(.*)', '\\2')) AS fp FROM pages)
+GROUP BY fp
+"""
+)
 def streamed_first_seen(spark, folder):
-    """Fingerprints that pass the streaming deduplication."""
-    path, state = scratch(spark, "stream-seen"), scratch(spark, "stream-state")
-    source = stream.first_seen(stream.page_stream(spark, f"{folder}/pages*.parquet").select("page_id", "url"))
-    out = source.select(U.fingerprint(F.col("url")).alias("fp"))
-    running = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
-    running.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    """Pages that pass the streaming deduplication: the first of each fingerprint."""
+    path, seen, state = (scratch(spark, f"stream-{n}") for n in ("pages", "seen", "state"))
+    source = stream.page_stream(spark, f"{folder}/pages.parquet").select("page_id", "url")
+
+    def each(batch, batch_id):
+        stream.first_seen(batch, batch_id, seen).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    source.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("page_id", U.fingerprint(F.col("url")).alias("fp"))

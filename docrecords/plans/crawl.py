@@ -18,13 +18,16 @@ def clean_responses(pages: DataFrame, spec: Spec) -> DataFrame:
     """Response URLs as they are compared later; pages without ``request_url`` were not redirected."""
     if "request_url" not in pages.columns:
         pages = pages.withColumn("request_url", F.col("url"))
+    # links are resolved against the response as it came
+    pages = pages.withColumn("_response_url", F.col("url"))
     if spec.remove_get_params:
         pages = pages.withColumn("url", drop_params(F.col("url")))
     return pages.withColumn("url", drop_bare_fragment(F.col("url"), F.col("request_url")))
 
 
 def link_table(pages: DataFrame) -> DataFrame:
-    return page_links(decompose(pages.select("url", "html")))
+    """Links of cleaned pages. A crawl knows a page by the URL it asked for, wherever the answer came from."""
+    return page_links(decompose(pages.select("request_url", "_response_url", "html")), "_response_url", "request_url")
 
 
 def select_pages(
@@ -51,7 +54,7 @@ def select_pages(
         asked = canonical(F.col("request_url")) == F.col("_node")
         listed = C.sitemap_pages(pages.join(urls, asked, "left_semi"), spec)
     flagged = "redirected" if "redirected" in pages.columns else None
-    return C.page_set(listed, crawled, flagged=flagged, use_anchors=spec.use_anchors)
+    return C.page_set(listed, crawled, flagged=flagged, use_anchors=spec.use_anchors).drop("_response_url")
 
 
 def run(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docrecords.operators import hierarchy as H
 from docrecords.operators import page_attrs as P
 from docrecords.operators.decompose import decompose
-from docrecords.operators.select import level_matches, page_text, page_value_json, xml_columns
+from docrecords.operators.select import css_selectors, level_matches, page_text, page_value_json, xml_columns
 from docrecords.spec import LEVELS, SelectorSet, Spec
 
 SET = "selectors_key"
@@ -37,7 +37,9 @@ def _per_set(spec: Spec, value: Callable[[SelectorSet], Column]) -> Column:
     out = F.when(F.col(SET) == named[0].key, value(named[0]))
     for group in named[1:]:
         out = out.when(F.col(SET) == group.key, value(group))
-    return out.otherwise(value(spec.selectors["default"])) if "default" in spec.selectors else out
+    if "default" in spec.selectors:
+        return out.otherwise(value(spec.selectors["default"]))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no selectors for "), F.col("url"), F.lit(", and no default ones"))))
 
 
 def parse_pages(pages: DataFrame, spec: Spec) -> DataFrame:
@@ -50,6 +52,7 @@ def parse_pages(pages: DataFrame, spec: Spec) -> DataFrame:
         keep_tags=spec.keep_tags,
         xml="xml" in need,
         xml_text="xml_text" in need,
+        css=css_selectors(list(spec.selectors.values())),
     )
 
 
@@ -100,7 +103,7 @@ def match_rows(parsed: DataFrame, spec: Spec) -> DataFrame:
         spec, lambda group: level_matches(group, spec.strip_chars, spec.keep_tags, attrs=with_attrs)
     )
     page_local = {"nodes", "frags", "xml", "xml_text"}
-    carried = [c for c in parsed.columns if c not in page_local]
+    carried = [c for c in parsed.columns if c not in page_local and not c.startswith("_css_")]
     return parsed.select(*carried, F.posexplode(matches).alias("position", "m")).select(*carried, "position", "m.*")
 
 
@@ -121,7 +124,7 @@ def shape_records(rows: DataFrame, spec: Spec, filled: bool = False) -> DataFram
         rows = H.keep_content_only(rows)
     min_level = (
         F.lit(spec.min_level_for("default"))
-        if len(spec.min_indexed_level) == 1
+        if set(spec.min_indexed_level) == {"default"}
         else _min_level(spec)
     )
     rows = H.keep_min_level(rows, min_level, heading_count)
@@ -193,7 +196,10 @@ def _min_level(spec: Spec) -> Column:
         if key != "default":
             test = F.col(SET) == key
             out = F.when(test, F.lit(level)) if out is None else out.when(test, F.lit(level))
-    return out.otherwise(F.lit(spec.min_level_for("default")))
+    if "default" in spec.min_indexed_level:
+        return out.otherwise(F.lit(spec.min_level_for("default")))
+    # only pages that need the missing level fail
+    return out.otherwise(F.raise_error(F.concat(F.lit("no minimum level for selectors "), F.col(SET))).cast("int"))
 
 
 def build_records(pages: DataFrame, spec: Spec) -> DataFrame:

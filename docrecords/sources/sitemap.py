@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docrecords.operators.crawl import checkpoint_dir, reachable
+
 _LOC = r"(?s)<(?:(?!image:|video:|news:)\w+:)?loc\b[^>]*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</"
 # XML entities, the ampersand last.
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
@@ -50,14 +52,10 @@ def nested_sitemaps(sitemaps: DataFrame) -> DataFrame:
     return sitemaps.select(F.col("url").alias("index_url"), F.explode(_locs(_blocks("sitemap"))).alias("url"))
 
 
-def crawl_sitemaps(
-    sitemaps: DataFrame, seeds: list[str], alternate_links: bool = False, depth: int = 2
-) -> DataFrame:
-    """Page URLs reachable from the seed sitemaps through ``depth`` levels of sitemap indexes."""
-    level = sitemaps.filter(F.col("url").isin(seeds))
-    out = sitemap_urls(level, alternate_links)
-    for _ in range(depth - 1):
-        inner = nested_sitemaps(level).select("url").distinct()
-        level = sitemaps.join(inner, "url", "left_semi")
-        out = out.unionByName(sitemap_urls(level, alternate_links))
-    return out
+def crawl_sitemaps(sitemaps: DataFrame, seeds: list[str], alternate_links: bool = False) -> DataFrame:
+    """Page URLs reachable from the seed sitemaps through indexes of any depth; indexes may point to each other."""
+    checkpoint_dir(sitemaps.sparkSession)
+    edges = nested_sitemaps(sitemaps).select(F.col("index_url").alias("src"), F.col("url").alias("dst")).checkpoint()
+    start = sitemaps.filter(F.col("url").isin(seeds)).select(F.col("url").alias("node"))
+    reached = reachable(edges, start).select(F.col("node").alias("url"))
+    return sitemap_urls(sitemaps.join(reached, "url", "left_semi"), alternate_links)

@@ -145,7 +145,8 @@ class Spec:
     strip_chars: str = ".,;:§¶"
     min_indexed_level: Mapping[str, int] = field(default_factory=lambda: {"default": 0})
     only_content_level: bool = False
-    nb_hits_max: int = 6_000_000
+    # most records of a run; 0: no cap
+    nb_hits_max: int = 0
     meta_prefix: str = "docrecords:"
 
     @staticmethod
@@ -199,8 +200,8 @@ def _check(raw: Mapping) -> None:
         if not ok:
             raise ValueError(message)
 
-    need(bool(raw.get("index_uid")), "index_uid is not defined")
-    need(bool(raw.get("start_urls") or raw.get("sitemap_urls")), "neither start_urls nor sitemap_urls is defined")
+    need(bool(raw.get("index_uid")), "index_uid: a name for the index is needed")
+    need(bool(raw.get("start_urls") or raw.get("sitemap_urls")), "a run needs start_urls or sitemap_urls")
     for name in ("start_urls", "stop_urls"):
         need(not raw.get(name) or isinstance(raw[name], (list, tuple)), f"{name} should be a list")
     for name in ("js_render", "use_anchors", "sitemap_alternate_links"):

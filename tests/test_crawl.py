@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docrecords import Spec
 from docrecords.operators import crawl as C
 from docrecords.plans import crawl as plan
+from docrecords.plans.crawl import select_pages
 from docrecords.sources.sitemap import crawl_sitemaps, nested_sitemaps, sitemap_urls
 
 
@@ -101,6 +102,32 @@ def test_sitemaps(spark):
     assert {r.url for r in found.collect()} == {"http://a.b/docs/1", "http://a.b/docs/2"}
 
 
+def test_sitemap_indexes_of_any_depth_and_in_circles(spark):
+    def index(*urls):
+        return "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in urls) + "</sitemapindex>"
+
+    rows = [(f"http://a.b/{i}", index(f"http://a.b/{i + 1}", "http://a.b/0")) for i in range(4)]
+    rows += [("http://a.b/4", sitemap("http://a.b/docs/1")), ("http://a.b/9", sitemap("http://a.b/docs/9"))]
+    maps = spark.createDataFrame(rows, "url string, xml string").coalesce(1)
+    assert [r.url for r in crawl_sitemaps(maps, ["http://a.b/0"]).collect()] == ["http://a.b/docs/1"]
+
+
+def test_links_behind_redirects_and_parameters(spark):
+    link = '<h1>{}</h1><a href="{}">x</a>'
+    rows = [
+        (1, "http://a.b/", "http://a.b/", link.format(1, "/old")),
+        (2, "http://a.b/new/x", "http://a.b/old", link.format(2, "c?p=2")),
+        (3, "http://a.b/new/c?p=2", "http://a.b/new/c?p=2", link.format(3, "?q=d")),
+        (4, "http://a.b/new/c?q=d", "http://a.b/new/c?q=d", "<h1>4</h1>"),
+        (5, "http://a.b/lost", "http://a.b/lost", "<h1>5</h1>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, request_url string, html string").coalesce(1)
+    for drop in (False, True):
+        spec = Spec.of(index_uid="t", start_urls=["http://a.b/"], selectors={"lvl0": "h1", "content": "p"}, remove_get_params=drop)
+        got = sorted(r.page_id for r in select_pages(pages, spec).collect())
+        assert got == ([1, 2, 3] if drop else [1, 2, 3, 4])
+
+
 def test_broken_sitemaps_give_what_they_can(spark):
     xml = """<urlset><!-- <url><loc>http://a.b/no</loc></url> --><url><image:image><image:loc>http://a.b/i.png</image:loc>
     </image:image><loc><![CDATA[http://a.b/1?x=1&y=2]]></loc></url><s:url><s:loc>http://a.b/2?x=1&amp;y=2</s:loc></s:url>

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docrecords.operators.css import parse_css
+from docrecords.operators.css import css_column, parse_css
 from docrecords.operators.decompose import _Columns, _xml, decompose, node_rows, page_links, parse_page
 from docrecords.operators.select import select_nids
 from docrecords.spec import Selector
@@ -77,10 +77,28 @@ def test_exclude(css, want):
     assert tree(html, [css]) == want
 
 
-def test_exclude_needs_streamable_selectors(spark):
-    pages = spark.createDataFrame([(1, "<p>")], "page_id long, html string")
-    with pytest.raises(ValueError):
-        decompose(pages, exclude=["p:last-child"])
+LATE = [
+    ("p:last-child", "html(body(p('1') p('2') ul(li('3') li('4')) p))"),
+    ("li:last-child, p:empty", "html(body(p('1') p('2') ul(li('3')) p('5')))"),
+    ("p:contains(2)", "html(body(p('1') ul(li('3') li('4')) p p('5')))"),
+    ("ul:not(:only-of-type)", "html(body(p('1') p('2') ul(li('3') li('4')) p p('5')))"),
+    ("p:nth-last-of-type(-n+3), li:only-child", "html(body(p('1') ul(li('3') li('4'))))"),
+]
+
+
+@pytest.mark.parametrize("css, want", LATE)
+def test_exclude_by_what_follows(spark, css, want):
+    pages = spark.createDataFrame([(1, "<p>1</p><p>2</p><ul><li>3<li>4</ul><p></p><p>5</p>")], "page_id long, html string").coalesce(1)
+    row = decompose(pages, exclude=[css]).first()
+
+    def write(nid):
+        node = row.nodes[nid]
+        if node.tag is None:
+            return f"'{row.frags[node.lo].s}'"
+        inner = " ".join(write(n.nid) for n in row.nodes if n.parent == nid)
+        return f"{node.tag}({inner})" if inner else node.tag
+
+    assert write(0) == want
 
 
 PIECES = st.lists(
@@ -130,44 +148,33 @@ def test_excluding_equals_removing_rows(spark):
     assert names(cut) == names(rest) == ["html", "body", "h1", None, "p", None]
 
 
-SELECTORS = ["p", ".ad", "div p", "div > p", "h1 + p", "h1 ~ p", "[href]", "a[href^='/x']", "#m, p.y", "p:first-child", "p:last-child", "li:not(.y)"]
+SELECTORS = {
+    "p": [6, 8, 12, 14], ".ad": [5], "div p": [6, 8], "div > p": [6, 8], "h1 + p": [12], "h1 ~ p": [12, 14], "[href]": [21, 23],
+    "a[href^='/x']": [21], "#m, p.y": [5, 6, 14], "p:first-child": [6], "p:last-child": [8], "li:not(.y)": [19],
+    "p:nth-of-type(2n+1)": [6, 12], "p:nth-of-type(even)": [8, 14], "p:last-of-type": [8, 14], "li:nth-last-child(1)": [19],
+    "a:nth-last-of-type(2)": [21], "p:not(.y, :last-child)": [12], ":is(h1, li).y": [17], "h1:only-of-type": [10], "p:contains(4)": [14],
+    r".md\:z": [14], "body > :nth-child(-n+2)": [5, 10], "p:empty": [],
+}
 
 
-def test_selectors_in_the_jvm_equal_the_python_matcher(spark):
-    html = """<div id="m" class="ad b"><p class="y">1</p><p>2</p></div><h1>t</h1><p>3</p><p class="z y">4</p>
-    <ul><li class="y">5<li>6</ul><a href="/xy">7</a><a href="/z">8</a>"""
+def test_selectors(spark):
+    html = """<title>x</title><div id="m" class="ad b"><p class="y">1</p><p>2</p></div><h1>t</h1><p>3</p><p class="md:z y">4</p><ul><li class="y">5<li>6</ul><a href="/xy">7</a><a href="/z">8</a>"""
     pages = spark.createDataFrame([(1, html)], "page_id long, html string").coalesce(1)
-    parsed = decompose(pages, xml=True)
-    row = parsed.select(*[select_nids(Selector(css)).alias(f"c{i}") for i, css in enumerate(SELECTORS)], "nodes").first()
-    for i, css in enumerate(SELECTORS):
-        if "last-child" in css:
-            want = [n.nid for n in row.nodes if n.tag == "p" and not any(
-                m.parent == n.parent and m.nid > n.nid and m.tag for m in row.nodes)]
-        else:
-            # excluding what a selector matches leaves the rest, so the difference is what it matched
-            kept = parsed_tags(html, css)
-            want = kept
-        assert row[f"c{i}"] == want, css
-
-
-def parsed_tags(html, css):
-    from docrecords.operators import decompose as D
-
-    hits = []
-    path_test = D.matches_path
-    cols = D._Columns()
-
-    def spy(el, path):
-        if path_test(el, path) and el.nid not in hits:
-            hits.append(el.nid)
-        return False
-
-    D.matches_path = spy
-    try:
-        D.parse_page(html, cols, parse_css(css), frozenset())
-    finally:
-        D.matches_path = path_test
-    return hits
+    row = decompose(pages, css=list(SELECTORS))
+    got = row.first()
+    by_css = {css: got[css_column(css)] for css in SELECTORS}
+    assert by_css == SELECTORS
+    for css in SELECTORS:
+        chosen = row.select(select_nids(Selector(css)).alias("n")).first().n
+        assert chosen == SELECTORS[css], css
+
+
+def test_long_names_stay_apart(spark):
+    one, two = "x" * 300, "x" * 299 + "y"
+    pages = spark.createDataFrame([(1, f"<p><{one}>1</{one}><{two}>2</{two}></p>")], "page_id long, html string").coalesce(1)
+    row = decompose(pages, xml=True)
+    got = [row.select(select_nids(Selector(f"//{n}", type="xpath")).alias("n"), "nodes").first() for n in (one, two)]
+    assert [[r.nodes[i].tag for i in r.n] for r in got] == [[one], [two]]
 
 
 def test_links(spark):

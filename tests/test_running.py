@@ -71,18 +71,49 @@ def test_batches(spark):
 def test_send_batches(spark, tmp_path):
     folder = str(tmp_path)
 
-    def send(batch):
+    def send(table):
         import json
         import uuid
 
         with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
-            json.dump(batch, f)
+            json.dump(table.to_pydict(), f)
 
-    I.send_batches(spark.range(120).coalesce(1).select(F.col("id").cast("string").alias("objectID")), send)
+    docs = spark.range(320).select((F.col("id") % 3).alias("page_id"), F.col("id").alias("position"), F.lit("x").alias("objectID"))
+    assert I.send_batches(docs.repartition(4), send) == 9
     import json
 
-    sizes = sorted(len(json.loads(p.read_text())) for p in tmp_path.iterdir())
-    assert sizes == [20, 50, 50]
+    lists = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    assert all(len(set(t["page_id"])) == 1 and t["position"] == sorted(t["position"]) for t in lists)
+    assert sorted(len(t["page_id"]) for t in lists) == [6, 7, 7, 50, 50, 50, 50, 50, 50]
+    assert sorted(p for t in lists for p in t["position"]) == list(range(320))
+    assert I.send_batches(docs.limit(0), send) == 0
+
+
+def test_a_failed_rebuild_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "index")
+    I.rebuild(spark.range(3).withColumnRenamed("id", "objectID"), root)
+    broken = spark.range(5).select(F.when(F.col("id") < 4, F.col("id")).otherwise(F.raise_error(F.lit("no")).cast("long")).alias("objectID"))
+    with pytest.raises(Exception, match="no"):
+        I.rebuild(broken, root)
+    assert I.read_index(spark, root).count() == 3 and I.published(spark, root) == 1
+    I.rebuild(spark.range(7).withColumnRenamed("id", "objectID"), root)
+    assert I.read_index(spark, root).count() == 7 and I.published(spark, root) == 2
+    with pytest.raises(ValueError):
+        I.read_index(spark, str(tmp_path / "none"))
+
+
+def test_upsert_keeps_one_of_each_new_id(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "objectID string, v int")
+    new = spark.createDataFrame([("b", 3), ("b", 4), ("c", 5)], "objectID string, v int")
+    got = sorted((r.objectID, r.v) for r in I.upsert(old, new, version=F.col("v")).collect())
+    assert got == [("a", 1), ("b", 4), ("c", 5)]
+    assert I.upsert(old, new).count() == 3
+
+
+def test_require_hits(spark):
+    I.require_hits(spark.range(1))
+    with pytest.raises(ValueError):
+        I.require_hits(spark.range(0))
 
 
 def test_hit_cap(spark):

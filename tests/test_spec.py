@@ -44,7 +44,7 @@ def test_defaults():
     s = spec()
     assert s.start_urls[0].tags == () and s.start_urls[0].page_rank == 0 and s.start_urls[0].selectors_key == "default"
     assert s.start_urls[0].url == "http://www.foo.bar/"
-    assert s.strip_chars == ".,;:§¶" and s.nb_hits_max == 6000000 and s.strict_redirect
+    assert s.strip_chars == ".,;:§¶" and s.nb_hits_max == 0 and s.strict_redirect
     assert s.selectors_exclude == () and s.only_urls == () and s.scrape_start_urls
     assert spec(scrap_start_urls=False).scrape_start_urls is False
     assert Spec.of({"index_uid": "x", "sitemap_urls": ["http://a/s.xml"], "sitemap_urls_regexs": ["/d/"]}).start_urls == ()

@@ -126,14 +126,17 @@ def test_rule_tables(spark):
         ],
         "ord int, url string, variables map<string, array<string>>, page_rank int",
     )
-    out = R.expand_variables(R.normalise_rules(rules), max_variables=2).orderBy("ord", "path").collect()
+    out = R.expand_variables(R.normalise_rules(rules)).orderBy("ord", "path").collect()
     assert [r.url for r in out] == [f"https://t/{v}/{k}/" for v in ("1.0", "1.1") for k in "abc"] + ["https://t/plain"]
     assert out[0].url_attributes == {"v": "1.0", "k": "a"} and out[0].page_rank == 0 and out[6].page_rank == 5
-    assert {r.facet for r in R.facet_names(R.expand_variables(rules, 2)).collect()} == {"v", "k"}
+    assert {r.facet for r in R.facet_names(R.expand_variables(rules)).collect()} == {"v", "k"}
     missing = spark.createDataFrame([(0, "http://t/(?P<v>.*?)/", {"w": ["1"]})], "ord int, url string, variables map<string, array<string>>")
     with pytest.raises(Exception, match="missing values"):
-        R.expand_variables(missing, 1).collect()
-    with pytest.raises(Exception, match="too many"):
-        R.expand_variables(rules, 1).collect()
+        R.expand_variables(missing).collect()
+    names = [f"n{i}" for i in range(10)]
+    url = "https://t/" + "/".join(f"(?P<{n}>.*?)" for n in names)
+    many = spark.createDataFrame([(0, url, {n: ["a", "b"] if i < 2 else [n] for i, n in enumerate(names)})], "ord int, url string, variables map<string, array<string>>")
+    out = R.expand_variables(many).orderBy("path").collect()
+    assert [r.url for r in out] == [f"https://t/{x}/{y}/" + "/".join(names[2:]) for x in "ab" for y in "ab"]
     urls = spark.createDataFrame([(0, "http://b.c/"), (1, "http://a.b/"), (2, "http://b.c/x")], "ord int, url string")
     assert [r.domain for r in R.allowed_domains(urls).orderBy("ord").collect()] == ["b.c", "a.b"]
