@@ -8,13 +8,13 @@ are sampled, because every difference modulo the period occurs in the cover.
 1. Sample: the words after a sampled place get a name, common to all equal ones. Names are sorted, and adjacent ones that are
    equal show which sampled places have a partner in another document. Places without a sampled partner within reach cannot
    begin a repeated passage.
-2. Recursion: the places that are left get the name of their whole passage, made from the names of the bytes before and after
-   (a running sum, so a longer name costs no more than a short one).
-3. Merge: names of all places are sorted, and each is compared with the adjacent equal ones: is the smallest document of a
-   name another one?
+2. Recursion: the sampled places that are left get longer names, of what every passage that reaches them at a shift of
+   one of the ``BANDS`` has in common. A longer name is made of the running names of its two ends, at no more cost.
+3. Merge: all places with a partner within reach get the name of their whole passage. Names are sorted, and each is compared
+   with the adjacent equal ones: is the smallest document of a name another one?
 
 Only equality of prefixes is asked for here, so names are hashes instead of ranks: 40 bits where a mistake costs time only
-(step 1), 64 bits and more for the passages themselves. Documents are packed into chunks, and a chunk sends each name once to
+(steps 1 and 2), 64 bits and more for the passages themselves. Documents are packed into chunks, and a chunk sends each name once to
 the range of names it falls in, as sorted arrays; back comes one bit for each name. So a passage that is everywhere counts
 once per chunk, and texts are stored once, by chunk, and never shuffled.
 
@@ -45,8 +45,9 @@ LENGTH = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 KEY = LENGTH - PERIOD + 1
+BANDS = ((0, 10), (11, 20), (21, 30))
 # bytes and rows of a chunk; names that one range should hold
-CHUNK, ROWS = 1 << 22, 60_000
+CHUNK, ROWS = 1 << 21, 60_000
 NAMES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
@@ -101,36 +102,60 @@ class Chunk:
         self.ends = np.cumsum(self.sizes)
         n = len(self.data)
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
-        self.place = np.arange(n, dtype=np.int64) - (self.ends - self.sizes)[self.doc]
-        self.left = self.sizes[self.doc] - self.place  # bytes to the end of the row
-        forth, self.back = weights(1 << max(22, n.bit_length()))
+        self.place = np.arange(n, dtype=np.int32) - (self.ends - self.sizes).astype(np.int32)[self.doc]
+        self.left = self.sizes.astype(np.int32)[self.doc] - self.place  # bytes to the end of the row
+        forth, self.back = weights(1 << max(21, n.bit_length()))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data + np.uint64(1)) * forth[:n], out=self.sums[1:])
 
     def names(self, at: np.ndarray, size: int) -> np.ndarray:
         return mixed((self.sums[at + size] - self.sums[at]) * self.back[at])
 
+    def short(self, names: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct names in order, cut to 32 digits and those of the range; which one each place has; whether several rows
+        of this chunk have it. ``at``: the places, in order within each stretch."""
+        distinct, which = np.unique(names >> (np.uint64(32) - self.bits), return_inverse=True)
+        some, other = np.zeros((2, len(distinct)), np.int32)
+        rows = self.doc[at]
+        some[which] = rows
+        other[which[::-1]] = rows[::-1]
+        return distinct, which, some != other
+
     def sampled(self) -> None:
-        """Sampled places with ``KEY`` bytes after them, and their distinct names in order."""
+        """Step 1: sampled places with ``KEY`` bytes after them."""
         in_cover = np.zeros(PERIOD, bool)
         in_cover[list(COVER)] = True
         self.sample = np.flatnonzero(in_cover[self.place % PERIOD] & (self.left >= KEY))
-        names = self.names(self.sample, KEY) >> (np.uint64(32) - self.bits)
-        self.short, first, self.which = np.unique(names, return_index=True, return_inverse=True)
-        last = np.zeros(len(self.short), np.int32)
-        last[self.which] = self.doc[self.sample]  # places are in order, so the last row stays
-        self.shared = last != self.doc[self.sample[first]]
-
-    def candidates(self, partner: np.ndarray) -> None:
-        """Places from which a sampled place with a partner is within reach, and the distinct names of their passages."""
-        seen = np.zeros(len(self.data) + 1, np.int32)
-        seen[self.sample[partner[self.which]] + 1] = 1
-        np.cumsum(seen, out=seen)
+        self.first = self.short(self.names(self.sample, KEY), self.sample)
+
+    def reached(self, partner: np.ndarray) -> None:
+        """Step 2: what passages share that reach a sampled place at a shift of a band."""
+        at = self.sample[partner[self.first[1]]]
+        self.reach, names = [], []
+        for number, (near, far) in enumerate(BANDS):
+            size = LENGTH - far + near
+            fits = at[(self.place[at] >= near) & (self.left[at] + near >= size)]
+            self.reach.append(fits)
+            names.append(mixed(self.names(fits - near, size) + np.uint64(number)))
+        self.second = self.short(np.concatenate(names), np.concatenate(self.reach))
+
+    def passages(self, partner: np.ndarray) -> None:
+        """Step 3: places whose passage reaches a place with a partner, and the distinct names of these passages."""
         possible = np.flatnonzero(self.left >= LENGTH)
-        self.starts = possible[seen[possible + PERIOD] > seen[possible]]
+        hit = np.zeros(len(possible), bool)
+        done = 0
+        for (near, far), at in zip(BANDS, self.reach):
+            seen = np.zeros(len(self.data) + 1, np.int32)
+            seen[at[partner[self.second[1][done : done + len(at)]]] + 1] = 1
+            np.cumsum(seen, out=seen)
+            hit |= seen[possible + far + 1] > seen[possible + near]
+            done += len(at)
+        self.starts = possible[hit]
         self.long, self.passage = np.unique(self.names(self.starts, LENGTH), return_inverse=True)
         self.owner = np.full(len(self.long), NO_ID)
         np.minimum.at(self.owner, self.passage, self.ids[self.doc[self.starts]])
+        # names are sent by range and, within a range, by owner
+        self.order = np.lexsort((self.owner, self.long >> (np.uint64(64) - self.bits)))
 
     def ranges(self, names: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
         """Ranges of names that occur, with their part of the sorted names."""
@@ -140,8 +165,10 @@ class Chunk:
             yield int(number[a]), int(a), int(b)
 
     def cut(self, earlier: np.ndarray) -> list[tuple]:
-        """Per row: id, bytes, bytes removed, spans removed, digest of the rest."""
-        gone = earlier[self.passage] | (self.ids[self.doc[self.starts]] > self.owner[self.passage])
+        """Per row: id, bytes, bytes removed, spans removed, digest of the rest. ``earlier``: answers in the order sent."""
+        by_name = np.empty_like(earlier)
+        by_name[self.order] = earlier
+        gone = by_name[self.passage] | (self.ids[self.doc[self.starts]] > self.owner[self.passage])
         step = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(step, self.starts[gone], 1)
         np.add.at(step, self.starts[gone] + LENGTH, -1)
@@ -161,66 +188,104 @@ class Chunk:
 # ------------------------------------------------------------------------------------------------- names
 
 
+def short_rows(row: dict, chunk: Chunk, names: np.ndarray, shared: np.ndarray) -> list[tuple]:
+    """(range, chunk, names, shared): names of a chunk, by range."""
+    return [
+        (r, row["chunk"], names[a:b].astype(np.uint32).tobytes(), np.packbits(shared[a:b]).tobytes()) for r, a, b in chunk.ranges(names, 32)
+    ]
+
+
+def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) or [[]] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+SHORT = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("names", pa.binary()), ("shared", pa.binary())])
+LONG = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("names", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
+REST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+
 def first_names(bits: int):
-    """Chunks to (range, chunk, names, shared): the sampled names of a chunk, by range."""
+    """Chunks to the names of their sampled places."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row, bits)
                 chunk.sampled()
-                found = [(r, row["chunk"], chunk.short[a:b].astype(np.uint32).tobytes(), np.packbits(chunk.shared[a:b]).tobytes()) for r, a, b in chunk.ranges(chunk.short, 32)]
-                for at in range(0, len(found), 64):
-                    columns = list(zip(*found[at : at + 64]))
-                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["range", "chunk", "names", "shared"])
+                names, _, shared = chunk.first
+                yield from as_table(short_rows(row, chunk, names, shared), SHORT).to_batches(64)
 
     return each
 
 
-def with_partner(group: pd.DataFrame) -> pd.DataFrame:
-    """One bit for each name of a chunk: whether another document has it."""
-    parts = [np.frombuffer(x, np.uint32) for x in group["names"]]
-    sizes = [len(p) for p in parts]
-    shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group["shared"], sizes)])
-    _, which, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    several = counts > 1
-    several[which[shared > 0]] = True
-    return answers(group, several[which], sizes, 1)
-
-
 def second_names(bits: int):
-    """A chunk and its first answers to (range, chunk, names, owners): the passages of a chunk, by range."""
+    """A chunk and its first answers to the longer names of its sampled places."""
 
     def each(chunks: pa.Table, masks: pa.Table) -> pa.Table:
         found = []
         for row in chunks.to_pylist():
             chunk = Chunk(row, bits)
             chunk.sampled()
-            chunk.candidates(bits_of(masks, 1, len(chunk.short)))
+            chunk.reached(bits_of(masks, 1, len(chunk.first[0])))
+            names, _, shared = chunk.second
+            found += short_rows(row, chunk, names, shared)
+        return as_table(found, SHORT)
+
+    return each
+
+
+def with_partner(step: int):
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        """One bit for each name of a chunk: whether another document has it."""
+        parts = [np.frombuffer(x, np.uint32) for x in group["names"]]
+        sizes = [len(p) for p in parts]
+        shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group["shared"], sizes)])
+        _, which, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        several = counts > 1
+        several[which[shared > 0]] = True
+        return answers(group, several[which], sizes, step)
+
+    return each
+
+
+def third_names(bits: int):
+    """A chunk and its answers to the names of its passages."""
+
+    def each(chunks: pa.Table, masks: pa.Table) -> pa.Table:
+        found = []
+        for row in chunks.to_pylist():
+            chunk = resumed(row, masks, bits)
+            octets = chunk.long[chunk.order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+            owners = chunk.owner[chunk.order]
             for r, a, b in chunk.ranges(chunk.long, 64 - bits):
-                ids, which = np.unique(chunk.owner[a:b], return_inverse=True)
-                octets = chunk.long[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-                which = which.astype(np.uint16)  # a chunk has at most ROWS rows
-                found.append((r, row["chunk"], octets.tobytes(), which.tobytes(), ids.tobytes()))
-        kinds = [("range", pa.int64()), ("chunk", pa.int64()), ("names", pa.binary()), ("owner", pa.binary()), ("ids", pa.binary())]
-        columns = list(zip(*found)) or [[]] * len(kinds)
-        return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
+                ids, counts = np.unique(owners[a:b], return_counts=True)
+                found.append((r, row["chunk"], octets[a:b].tobytes(), ids.tobytes(), counts.astype(np.int32).tobytes()))
+        return as_table(found, LONG)
 
     return each
 
 
+def resumed(row: dict, masks: pa.Table, bits: int) -> Chunk:
+    """A chunk with the answers of steps 1 and 2 applied."""
+    chunk = Chunk(row, bits)
+    chunk.sampled()
+    chunk.reached(bits_of(masks, 1, len(chunk.first[0])))
+    chunk.passages(bits_of(masks, 2, len(chunk.second[0])))
+    return chunk
+
+
 def with_earlier(group: pd.DataFrame) -> pd.DataFrame:
     """One bit for each passage of a chunk: whether a document that is smaller than all of the chunk's has it."""
     parts = [np.frombuffer(x, np.uint8).reshape(-1, 7) for x in group["names"]]
     sizes = [len(p) for p in parts]
     wide = np.zeros((sum(sizes), 8), np.uint8)
     wide[:, :7] = np.concatenate(parts)
-    owners = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(w, np.uint16)] for w, i in zip(group["owner"], group["ids"])])
+    owners = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.int32)) for i, n in zip(group["owners"], group["counts"])])
     _, which = np.unique(wide.view("<u8").ravel(), return_inverse=True)
     least = np.full(which.max(initial=-1) + 1, NO_ID)
     np.minimum.at(least, which, owners)
-    return answers(group, least[which] < owners, sizes, 2)
+    return answers(group, least[which] < owners, sizes, 3)
 
 
 def answers(group: pd.DataFrame, bits: np.ndarray, sizes: list[int], step: int) -> pd.DataFrame:
@@ -244,13 +309,9 @@ def rest(bits: int):
     def each(chunks: pa.Table, masks: pa.Table) -> pa.Table:
         found = []
         for row in chunks.to_pylist():
-            chunk = Chunk(row, bits)
-            chunk.sampled()
-            chunk.candidates(bits_of(masks, 1, len(chunk.short)))
-            found += chunk.cut(bits_of(masks, 2, len(chunk.long)))
-        kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-        columns = list(zip(*found)) or [[]] * len(kinds)
-        return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
+            chunk = resumed(row, masks, bits)
+            found += chunk.cut(bits_of(masks, 3, len(chunk.long)))
+        return as_table(found, REST)
 
     return each
 
@@ -269,15 +330,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     chunks = spark.table(name)
     total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(8, (total // 5 // NAMES).bit_length())
-    first = chunks.mapInArrow(first_names(bits), "range long, chunk long, names binary, shared binary")
-    one = stored(first.groupBy("range").applyInPandas(with_partner, ANSWER), "partners")
-    by_chunk = chunks.groupBy("chunk")
-    second = by_chunk.cogroup(one.groupBy("chunk")).applyInArrow(second_names(bits), "range long, chunk long, names binary, owner binary, ids binary")
-    two = stored(second.groupBy("range").applyInPandas(with_earlier, ANSWER), "earlier")
-    both = one.unionByName(two)
-    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(
-        rest(bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
+    short, long = "range long, chunk long, names binary, shared binary", "range long, chunk long, names binary, owners binary, counts binary"
+
+    def with_answers(answered: DataFrame):
+        return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk"))
+
+    names = chunks.mapInArrow(first_names(bits), short)
+    answered = stored(names.groupBy("range").applyInPandas(with_partner(1), ANSWER), "names")
+    names = with_answers(answered).applyInArrow(second_names(bits), short)
+    answered = answered.unionByName(stored(names.groupBy("range").applyInPandas(with_partner(2), ANSWER), "names"))
+    names = with_answers(answered).applyInArrow(third_names(bits), long)
+    answered = answered.unionByName(stored(names.groupBy("range").applyInPandas(with_earlier, ANSWER), "names"))
+    return with_answers(answered).applyInArrow(rest(bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
