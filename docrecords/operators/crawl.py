@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,23 +19,12 @@ from docrecords.functions.urls import (
     redirect_ok,
 )
 from docrecords.operators.prefix import running
+from docrecords.operators.storage import checkpoint_dir
 from docrecords.spec import Spec
 
 BROADCAST_BYTES = 32 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a local session may fall back to a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="docrecords-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def seed_kinds(spec: Spec) -> list[tuple[str, str, bool]]:
     """Start of a run: ``(url, kind, scrape)``. ``only_urls`` alone when given, else sitemaps, then start URLs."""
     if spec.only_urls:
@@ -107,10 +94,15 @@ def reachable(links: DataFrame, start: DataFrame, max_hops: int | None = None) -
     """Nodes reachable from ``start(node)`` over ``links(src, dst)``, with their distance.
 
     Semi-naive rounds: only the newest nodes are joined with the links. Every round is checkpointed, which keeps the
-    plan flat and lets a lost executor's part be read again. The number of rounds is the depth of the graph. The newest
-    nodes are broadcast only when their measured size is small, so the links are then not shuffled at all.
+    plan flat and lets a lost executor's part be read again. The number of rounds is the depth of the graph. Links are
+    dealt out by their source once and stored so; a round moves its newest nodes only, which are broadcast when their
+    measured size is small.
     """
-    checkpoint_dir(links.sparkSession)
+    spark = links.sparkSession
+    checkpoint_dir(spark)
+    links = links.select("src", "dst")
+    if max_hops is None or max_hops > 1:
+        links = links.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").checkpoint()
     frontier = start.select("node").distinct().withColumn("hops", F.lit(0)).checkpoint()
     seen = frontier
     hops = 0
@@ -132,9 +124,6 @@ def crawl_closure(links: DataFrame, start: DataFrame, spec: Spec) -> DataFrame:
     edges = followed_links(links, spec).select(
         canonical(F.col("src_url")).alias("src"), F.col("dst_url").alias("dst")
     )
-    # links come out of parsed pages: written once, not parsed again in every round
-    checkpoint_dir(links.sparkSession)
-    edges = edges.checkpoint()
     nodes = start.select(canonical(F.col("url")).alias("node"))
     return reachable(edges, nodes, max_hops=1 if spec.only_urls else None)
 
@@ -191,14 +180,14 @@ def page_set(
     return out.drop("_late")
 
 
-def cap_pages(per_page: DataFrame, cap: int, order: str = "page_id", chunk: int = 1_000_000) -> DataFrame:
+def cap_pages(per_page: DataFrame, cap: int, order: str = "page_id") -> DataFrame:
     """Pages up to the hit cap, in order of sitemap pages first, then ``order``; adds the ``before`` count.
 
     ``per_page(order, from_sitemap, records)``. The page that crosses the cap is kept, later ones are not; 0 means no
-    cap. The running count goes over chunks of ``order``, so no task sees all pages.
+    cap. The running count goes over parts of the order, so no task sees all pages.
     """
     late = (~F.col("from_sitemap")).cast("int")
-    counted = running(per_page, [], order, sums={"before": F.col("records")}, chunk=chunk, major=[late])
+    counted = running(per_page, [], order, sums={"before": F.col("records")}, large=True, major=[late])
     return counted.filter(F.col("before") <= cap) if cap > 0 else counted
 
 

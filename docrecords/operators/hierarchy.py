@@ -19,10 +19,10 @@ MAX_LEVEL = len(LEVELS)
 
 
 def add_position(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "position", chunk: int | None = None
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "position", large: bool = False
 ) -> DataFrame:
     """0-based index among all matches of the group."""
-    df = running(df, keys, order, sums={name: F.lit(1)}, chunk=chunk)
+    df = running(df, keys, order, sums={name: F.lit(1)}, large=large)
     return df.withColumn(name, F.col(name).cast("int"))
 
 
@@ -30,7 +30,7 @@ def fill_down(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    chunk: int | None = None,
+    large: bool = False,
     attrs: bool = False,
     position: str | None = None,
     levels: int = MAX_LEVEL,
@@ -46,7 +46,7 @@ def fill_down(
     kept = ["lvl", "text", "anchor"] + (["attrs"] if attrs else [])
     states = {f"_s{k}": F.when(F.col("lvl") <= k, F.struct(*kept)) for k in range(levels)}
     numbers = {position: F.lit(1)} if position else {}
-    df = running(df, keys, order, sums=numbers, lasts=states, chunk=chunk)
+    df = running(df, keys, order, sums=numbers, lasts=states, large=large)
 
     def held(k: int, part: str) -> Column:
         state = F.col(f"_s{k}")

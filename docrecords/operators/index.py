@@ -71,10 +71,10 @@ def index_docs(records: DataFrame, extras: Sequence[str] = ()) -> DataFrame:
 
 
 def add_batches(
-    docs: DataFrame, keys: Sequence[str], order: str, size: int = BATCH, chunk: int | None = None
+    docs: DataFrame, keys: Sequence[str], order: str, size: int = BATCH, large: bool = False
 ) -> DataFrame:
     """1-based number of the emission batch within the page."""
-    docs = running(docs, keys, order, sums={"_sent": F.lit(1)}, chunk=chunk)
+    docs = running(docs, keys, order, sums={"_sent": F.lit(1)}, large=large)
     return docs.withColumn("batch", (F.floor(F.col("_sent") / size) + 1).cast("int")).drop("_sent")
 
 

@@ -1,10 +1,10 @@
 """Running values over ordered groups of any size.
 
-A group normally is one window. Groups with more than ``chunk`` rows would pile up in one task, so they are looked for
-first (a count per group, combined map-side) and cut into chunks of their order column: every chunk is a window of its
-own, one small row per chunk carries the state onward, and the two are joined on the chunk. When the order column holds
-distinct integers within a group, a chunk has at most ``chunk`` rows. Without ``chunk`` nothing is counted, which is
-right for groups that are bounded by nature, such as the nodes of a page.
+A group normally is one window, which is right for groups that are bounded by nature, such as the nodes of a page. Groups
+that may be large are cut: the rows are stored, dealt out by ranges of key and order, and every part of a group that lies in
+one range is a window of its own. One small row per group and range carries the state onward and is joined back. Ranges have
+about as many rows each whatever the keys and orders are, so no task gets a whole large group; nothing is counted or gathered
+to find such groups.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docrecords.operators.storage import checkpoint_dir
+
 _CUT = "_cut"
-_HOT = "_hot"
-MAX_HOT = 100_000
+_RANGE = "_range"
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -28,52 +29,45 @@ def running(
     *,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
-    chunk: int | None = None,
+    large: bool = False,
     major: Sequence[Column] = (),
 ) -> DataFrame:
     """Add running columns per group.
 
     ``sums``: sum over all earlier rows, as a long. ``lasts``: latest non-null value up to and including the row.
-    ``major`` columns come before ``order`` in the ordering; they should take few values.
+    ``major`` columns come before ``order`` in the ordering. ``large``: groups may be of any size.
     """
     sums = {k: v.cast("long") for k, v in (sums or {}).items()}
     lasts = dict(lasts or {})
     if not sums and not lasts:
         return df
-    hot = [] if chunk is None else _hot_groups(df, keys, chunk)
-    if hot == []:
+    if not large:
         # the window would build all its inputs before the shuffle; shuffled first, every text travels once
         w = Window.partitionBy(*keys).orderBy(*major, order)
         return df.repartition(*keys).withColumns(_over(w, sums, lasts))
 
-    nth = F.floor(F.col(order) / F.lit(chunk)).cast("long")
-    if hot is None:
-        df = df.withColumn(_HOT, F.lit(True))
-    else:
-        # at most MAX_HOT rows of keys
-        marks = df.sparkSession.createDataFrame(hot, df.select(*keys).schema)
-        marks = marks.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias(_HOT))
-        on = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-        df = df.join(F.broadcast(marks), on, "left").drop(*[f"_hot_{k}" for k in keys])
-    majors = [m.alias(f"_major{i}") for i, m in enumerate(major)]
-    # one struct as the key of a chunk, so that null keys form a group too
-    cut = F.struct(*keys, *majors, F.when(F.col(_HOT), nth).otherwise(F.lit(0).cast("long")).alias("_nth"))
-    df = df.withColumn(_CUT, cut)
-    local = df.repartition(_CUT).withColumns(
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    majors = {f"_major{i}": m for i, m in enumerate(major)}
+    # stored once before and once after the dealing: finding the ranges reads the rows, and both uses must see the same ones
+    rows = df.withColumns(majors).checkpoint() if majors else df.checkpoint()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, *keys, *majors, order).withColumn(_RANGE, F.spark_partition_id()).checkpoint()
+    # one struct as the key of a part, so that null keys form a group too
+    rows = rows.withColumn(_CUT, F.struct(*keys, *majors, _RANGE)).drop(*majors, _RANGE)
+    local = rows.repartition(_CUT).withColumns(
         {f"_local_{k}": v for k, v in _over(Window.partitionBy(_CUT).orderBy(order), sums, lasts).items()}
     )
 
-    # state at the end of every chunk: combined map-side, one row per chunk
+    # state at the end of every part: combined map-side, one row per part
     totals = [F.sum(v).alias(k) for k, v in sums.items()]
     ends = [F.max_by(v, F.when(v.isNotNull(), F.col(order))).alias(k) for k, v in lasts.items()]
-    state = df.filter(_HOT).groupBy(_CUT).agg(*totals, *ends)
-    by_chunk = Window.partitionBy(*[f"{_CUT}.{k}" for k in keys]).orderBy(
-        *[f"{_CUT}._major{i}" for i in range(len(majors))], f"{_CUT}._nth"
-    )
+    state = rows.groupBy(_CUT).agg(*totals, *ends)
+    by_part = Window.partitionBy(*[f"{_CUT}.{k}" for k in keys]).orderBy(*[f"{_CUT}.{m}" for m in majors], f"{_CUT}.{_RANGE}")
     carried = state.select(
         F.col(_CUT).alias("_of"),
-        *[F.sum(k).over(by_chunk.rowsBetween(*BEFORE)).alias(f"_carry_{k}") for k in sums],
-        *[F.last(k, ignorenulls=True).over(by_chunk.rowsBetween(*BEFORE)).alias(f"_carry_{k}") for k in lasts],
+        *[F.sum(k).over(by_part.rowsBetween(*BEFORE)).alias(f"_carry_{k}") for k in sums],
+        *[F.last(k, ignorenulls=True).over(by_part.rowsBetween(*BEFORE)).alias(f"_carry_{k}") for k in lasts],
     )
     zero = F.lit(0).cast("long")
     out = local.join(carried, F.col(_CUT) == F.col("_of"), "left").withColumns(
@@ -81,16 +75,7 @@ def running(
         | {k: F.coalesce(f"_local_{k}", f"_carry_{k}") for k in lasts}
     )
     names = [*sums, *lasts]
-    return out.drop(_CUT, _HOT, "_of", *[f"_local_{k}" for k in names], *[f"_carry_{k}" for k in names])
-
-
-def _hot_groups(df: DataFrame, keys: Sequence[str], chunk: int) -> list | None:
-    """Keys of the groups with more than ``chunk`` rows; None when all groups have to be cut."""
-    if not keys:
-        return None
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > chunk)
-    hot = counts.select(*keys).limit(MAX_HOT + 1).collect()
-    return None if len(hot) > MAX_HOT else hot
+    return out.drop(_CUT, "_of", *[f"_local_{k}" for k in names], *[f"_carry_{k}" for k in names])
 
 
 def _over(w, sums: Mapping[str, Column], lasts: Mapping[str, Column]) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrecords.functions import text as T
@@ -17,12 +17,12 @@ from docrecords.operators import lookup as L
 from docrecords.operators import page_attrs as P
 from docrecords.operators import url_rules as R
 from docrecords.operators.decompose import decompose, node_rows, page_links
-from docrecords.operators.select import select_nids, texts_of
+from docrecords.operators.select import page_text, select_nids, texts_of
 from docrecords.plans import crawl as run_plan
 from docrecords.plans import samples as S
 from docrecords.plans.records import build_records, drop_stop_content, page_attributes, parse_pages
-from docrecords.sources.pages import decode_body, spread
-from docrecords.sources.sitemap import sitemap_urls
+from docrecords.sources.pages import decode_body, decode_pages, spread
+from docrecords.sources.sitemap import crawl_sitemaps, sitemap_urls
 from docrecords.spec import CONTENT, LEVELS, Selector, Spec
 from docrecords.streaming import stream
 
@@ -237,6 +237,10 @@ def page_link_table(spark, folder):
 
 
 _ITEM = sql_escape(sql_strip(sql_decode("x")))
+_ITEMS = "list_filter(list_transform({hits}, lambda x: " + _ITEM.replace("{", "{{").replace("}", "}}") + "), lambda t: t IS NOT NULL)"
+_NAV_TEXTS = "regexp_extract_all(h, '(?s)<li><a [^>]*>(.*?)</a>', 1)"
+_NAV_LINKS = "regexp_extract_all(h, '(?s)<li><a href=\"([^\"]*)\"', 1)"
+
 
 
 @query(
@@ -343,9 +347,10 @@ def page_values(spark, folder):
 
 @query(
     PAGE_CTES.rsplit(", docs AS", 1)[0].rsplit(", recs AS", 1)[0]
-    + """
-SELECT page_id, CAST(0 AS INTEGER) AS position, lvl0 AS title,
-       'attribute text' AS kind FROM cleaned WHERE type = 'lvl0'
+    + f"""
+SELECT c.page_id, CAST(0 AS INTEGER) AS position, lvl0 AS title,
+       nullif(array_to_string({_ITEMS.format(hits=_NAV_TEXTS)}, ' '), '') AS menu
+FROM cleaned c JOIN clean USING (page_id) WHERE type = 'lvl0'
 """
 )
 def level_attributes(spark, folder):
@@ -362,8 +367,75 @@ def level_attributes(spark, folder):
     )
     records = build_records(S.pages(spark, folder), spec)
     attrs = F.col("level_attrs")["lvl0"]
-    kind = F.when(F.col("hierarchy.lvl0").isNull() & attrs["menu"].isNotNull(), F.lit("attribute text"))
-    return records.select("page_id", "weight.position", attrs["title"].alias("title"), kind.alias("kind"))
+    return records.select("page_id", "weight.position", attrs["title"].alias("title"), attrs["menu"].alias("menu"))
+
+
+_CLEAN = "WITH clean AS (SELECT page_id, url, regexp_replace(html, '(?s)<script>.*?</script>', '', 'g') AS h FROM pages)"
+
+
+@query(
+    f"""
+{_CLEAN}
+SELECT page_id, nullif(array_to_string({_ITEMS.format(hits=_NAV_LINKS)}, ' '), '') AS links,
+       nullif(array_to_string({_ITEMS.format(hits=_NAV_TEXTS)}, ' '), '') AS menu FROM clean
+"""
+)
+def attribute_values(spark, folder):
+    """Page-wide texts of attributes, alone and in a union with other paths."""
+    parsed = decompose(S.pages(spark, folder).select("page_id", "html"), xml=True)
+    links = page_text(Selector("//nav//a/@href", type="xpath"), ".,;:§¶")
+    menu = page_text(Selector("//nav//a | //nav/@none", type="xpath"), ".,;:§¶")
+    return parsed.select("page_id", links.alias("links"), menu.alias("menu"))
+
+
+@query(
+    PAGE_CTES.rsplit(", docs AS", 1)[0]
+    + f"""
+, titles AS (SELECT page_id, regexp_extract(h, '(?s)<title>(.*?)</title>', 1) AS x FROM clean)
+SELECT page_id, {_ITEM} AS lvl0, count(*) AS records FROM recs JOIN titles USING (page_id) WHERE type = 'content' GROUP BY page_id, x
+"""
+)
+def scalar_level(spark, folder):
+    """A page-wide level whose XPath gives a text instead of nodes."""
+    title = {"selector": "string(//title)", "type": "xpath", "global": True}
+    spec = Spec.of(index_uid="pages", start_urls=S.PAGE_RULES, selectors={"lvl0": title, "content": "p"})
+    records = build_records(S.pages(spark, folder), spec)
+    return records.groupBy("page_id", F.col("hierarchy.lvl0").alias("lvl0")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query(
+    PAGE_CTES.rsplit(", matched AS", 1)[0]
+    + f"""
+SELECT page_id, CAST(len(paras) + 1 AS INTEGER) // 2 AS odd, CAST(greatest(len(paras) - 2, 0) AS INTEGER) AS inner_ones,
+       CAST(least(len(regexp_extract_all(h, '<li>')), 1) AS INTEGER) AS last_items
+FROM parts JOIN clean USING (page_id)
+"""
+)
+def structural_selectors(spark, folder):
+    """Numbers of nodes that selectors with structural conditions find."""
+    css = {"odd": "article p:nth-of-type(2n+1)", "inner_ones": "article p:not(:first-of-type, :last-of-type)", "last_items": "li:last-child"}
+    parsed = decompose(S.pages(spark, folder).select("page_id", "html"), css=list(css.values()))
+    return parsed.select("page_id", *[F.size(select_nids(Selector(c))).alias(n) for n, c in css.items()])
+
+
+@query(PAGE_DOC_SQL)
+def long_selector(spark, folder):
+    """A selector of thirty alternatives, of which one finds the paragraphs."""
+    content = ", ".join([f".none{i} > p + p" for i in range(29)] + ["article p"])
+    spec = Spec.of(index_uid="pages", start_urls=S.PAGE_RULES, selectors={"lvl0": "article > h1", "content": content})
+    return page_doc_columns(S.page_docs(spark, folder, spec))
+
+
+@query(
+    f"""
+{_CLEAN}
+SELECT page_id, nullif(array_to_string({_ITEMS.format(hits=_NAV_TEXTS + "[:-2]")}, ' '), '') AS menu FROM clean
+"""
+)
+def excluded_last(spark, folder):
+    """Exclusion by what follows: the last item of each menu."""
+    parsed = decompose(S.pages(spark, folder).select("page_id", "html"), exclude=["li:last-child"], css=["nav li > a"])
+    return parsed.select("page_id", page_text(Selector("nav li > a"), ".,;:§¶").alias("menu"))
 
 
 @query(
@@ -382,6 +454,22 @@ def cleaned_texts(spark, folder):
     return docs.select("doc_id", T.clean_text(F.col("text"), ".,;:§¶").alias("clean"))
 
 
+@query(
+    r"""
+SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN text ELSE regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') END AS text
+FROM documents
+"""
+)
+def declared_bodies(spark, folder):
+    """Bytes back to text by the encoding that comes with them, if any."""
+    docs, kind = S.table(spark, folder, "documents").select("doc_id", "text"), F.col("doc_id") % 3
+    latin = F.encode(F.regexp_replace("text", r"[^\x{00}-\x{FF}]", "?"), "ISO-8859-1")
+    body = F.when(kind == 0, F.encode("text", "UTF-8")).when(kind == 1, F.encode("text", "UTF-16LE")).otherwise(latin)
+    encoding = F.when(kind == 0, F.lit("no-such-encoding")).when(kind == 1, F.lit("utf-16-le"))
+    bodies = docs.select("doc_id", body.alias("body"), encoding.alias("encoding"))
+    return decode_pages(bodies, html="text")
+
+
 @query(
     r"""
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') END AS text
@@ -490,7 +578,7 @@ def filldown_conversations(spark, folder):
         T.clean_text(F.col("text"), ".,;:§¶").alias("text"),
         F.lit(None).cast("string").alias("anchor"),
     )
-    rows = H.drop_empty_content(H.fill_down(rows, ["conv_id"], "turn", chunk=1_000_000, position="position"))
+    rows = H.drop_empty_content(H.fill_down(rows, ["conv_id"], "turn", large=True, position="position"))
     return rows.select(
         "conv_id", "turn", "position", H.level_type(F.col("lvl")).alias("type"), "lvl0", "lvl1",
         F.when(F.col("lvl") == CONTENT, F.col("text")).alias("content"),
@@ -554,7 +642,7 @@ def emission_batches(spark, folder):
     """Number of the batch of 50 that a document is sent in."""
     path = scratch(spark, "index")
     I.rebuild(event_doc_columns(S.event_docs(spark, folder)), path)
-    return I.add_batches(I.read_index(spark, path), ["page_id"], "position", chunk=1_000_000)
+    return I.add_batches(I.read_index(spark, path), ["page_id"], "position", large=True)
 
 
 @query(DOC_CTES + "SELECT url_without_anchor, CAST(count(*) AS BIGINT) AS records FROM docs GROUP BY url_without_anchor")
@@ -669,7 +757,7 @@ _ALL_TEXT = "lower(concat_ws(' ', " + ", ".join([f"hierarchy_lvl{k}" for k in ra
 )
 def keyword_docs(spark, folder):
     """Documents with all words of a query."""
-    return L.with_words(S.event_docs(spark, folder), "Click 42").select("objectID", "url", "content")
+    return L.with_words(S.event_docs(spark, folder), "Click, (42)!").select("objectID", "url", "content")
 
 
 @query(
@@ -912,6 +1000,29 @@ def sitemap_scan(spark, folder):
     return sitemap_urls(_sitemaps(spark, folder), alternate_links=True)
 
 
+@query("SELECT DISTINCT url FROM pages WHERE page_id % 10 <> 9")
+def deep_sitemaps(spark, folder):
+    """Page URLs below four levels of sitemap indexes that also point back to their root; some sitemaps are in no index."""
+    page, host = F.col("page_id"), F.lit("http://maps.example.com/")
+
+    def name(level: int, number) -> Column:
+        return F.concat(host, F.lit(f"{level}/"), number.cast("string"))
+
+    def index(level: int, number, below) -> DataFrame:
+        rows = ids.filter(page % 10 != 9).select(name(level, number).alias("url"), name(level + 1, below).alias("b")).distinct()
+        links = F.concat_ws("", F.transform(F.collect_list("b"), lambda b: F.concat(F.lit("<sitemap><loc>"), b, F.lit("</loc></sitemap>"))))
+        root = F.lit("<sitemap><loc>http://maps.example.com/0/0</loc></sitemap>")
+        return rows.groupBy("url").agg(F.concat(F.lit("<sitemapindex>"), links, root, F.lit("</sitemapindex>")).alias("xml"))
+
+    ids = S.table(spark, folder, "pages").select("page_id", "url")
+    leaf = F.concat(F.lit("<urlset><url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
+    maps = ids.select(name(4, page).alias("url"), leaf.alias("xml"))
+    steps = [F.lit(0), page % 2, page % 6, page % 60, page]
+    for level in range(4):
+        maps = maps.unionByName(index(level, steps[level], steps[level + 1]))
+    return crawl_sitemaps(maps, ["http://maps.example.com/0/0"]).select("url").distinct()
+
+
 _SITEMAP_SPEC = dict(
     index_uid="p",
     start_urls=["http://.*/(en|fr)/"],
@@ -1066,6 +1177,23 @@ def expanded_rules(spark, folder):
     return rules.select("ord", "url", attrs["lang"].alias("lang"), attrs["year"].alias("year"), F.array_join("path", ",").alias("path"))
 
 
+@query(
+    f"""
+SELECT page_id AS ord, {_ROOT} || '/' || a.v || '/' || b.v || '/c2/c3/c4/c5/c6/c7/c8/c9/' AS url
+FROM pages, (VALUES ('a'), ('b')) a(v), (VALUES ('x'), ('y'), ('z')) b(v)
+"""
+)
+def many_variables(spark, folder):
+    """Ten URL variables in one rule."""
+    names = [f"v{i}" for i in range(10)]
+    values = {n: F.array(F.lit(f"c{i}")) for i, n in enumerate(names)} | {"v0": F.array(F.lit("a"), F.lit("b")), "v1": F.array(*map(F.lit, "xyz"))}
+    variables = F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)])
+    path = "/" + "/".join(f"(?P<{n}>.*?)" for n in names) + "/"
+    root = F.regexp_replace("url", r"\(\?P<.*", "")
+    rules = _rules(spark, folder).select("ord", F.concat(F.rtrim(root, F.lit("/")), F.lit(path)).alias("url"), variables.alias("variables"))
+    return R.expand_variables(rules).select("ord", "url")
+
+
 @query("SELECT 'lang' AS facet FROM pages UNION SELECT 'year' FROM pages")
 def facets(spark, folder):
     """Names of the URL variables in use."""
@@ -1174,7 +1302,7 @@ def selector_sets(spark, folder):
 def streamed_index(spark, folder):
     """Pages read as a stream; every micro-batch goes through the batch plan into the index."""
     path, state = scratch(spark, "stream-index"), scratch(spark, "stream-state")
-    source = stream.page_stream(spark, f"{folder}/pages.parquet")
+    source = stream.page_stream(spark, f"{folder}/pages*.parquet")
     running = stream.stream_records(source, S.PAGE_SPEC, stream.batch_writer(path), state)
     running.awaitTermination()
     return page_doc_columns(stream.current_docs(spark, path))
@@ -1189,7 +1317,7 @@ GROUP BY fp
 def streamed_first_seen(spark, folder):
     """Pages that pass the streaming deduplication: the first of each fingerprint."""
     path, seen, state = (scratch(spark, f"stream-{n}") for n in ("pages", "seen", "state"))
-    source = stream.page_stream(spark, f"{folder}/pages.parquet").select("page_id", "url")
+    source = stream.page_stream(spark, f"{folder}/pages*.parquet").select("page_id", "url")
 
     def each(batch, batch_id):
         stream.first_seen(batch, batch_id, seen).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

@@ -13,8 +13,6 @@ from docrecords.sources.pages import read_pages
 from docrecords.spec import CONTENT, LEVELS, Spec
 
 LANGS = ("en", "fr", "de", "es")
-# event ids are unique, so a chunk of this many ids bounds the rows of a task
-EVENT_CHUNK = 1_000_000
 
 PAGE_RULES = [
     {"url": rf"https?://[^/]+/{lang}/", "tags": [lang], "page_rank": len(LANGS) - rank}
@@ -64,7 +62,7 @@ def event_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filled_events(spark: SparkSession, folder: str) -> DataFrame:
-    return fill_down(event_matches(spark, folder), ["page_id"], "nid", chunk=EVENT_CHUNK, position="position")
+    return fill_down(event_matches(spark, folder), ["page_id"], "nid", large=True, position="position")
 
 
 def event_records(spark: SparkSession, folder: str, spec: Spec, page_globals: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrecords.operators.crawl import checkpoint_dir, reachable
+from docrecords.operators.crawl import reachable
 
 _LOC = r"(?s)<(?:(?!image:|video:|news:)\w+:)?loc\b[^>]*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</"
 # XML entities, the ampersand last.
@@ -54,8 +54,7 @@ def nested_sitemaps(sitemaps: DataFrame) -> DataFrame:
 
 def crawl_sitemaps(sitemaps: DataFrame, seeds: list[str], alternate_links: bool = False) -> DataFrame:
     """Page URLs reachable from the seed sitemaps through indexes of any depth; indexes may point to each other."""
-    checkpoint_dir(sitemaps.sparkSession)
-    edges = nested_sitemaps(sitemaps).select(F.col("index_url").alias("src"), F.col("url").alias("dst")).checkpoint()
+    edges = nested_sitemaps(sitemaps).select(F.col("index_url").alias("src"), F.col("url").alias("dst"))
     start = sitemaps.filter(F.col("url").isin(seeds)).select(F.col("url").alias("node"))
     reached = reachable(edges, start).select(F.col("node").alias("url"))
     return sitemap_urls(sitemaps.join(reached, "url", "left_semi"), alternate_links)

@@ -40,29 +40,29 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [None, 100_000, 37])
-def test_fill_down(spark, chunk):
+@pytest.mark.parametrize("large", [False, True])
+def test_fill_down(spark, large):
     rows = rows_of(1)
-    df = H.fill_down(spark.createDataFrame(rows, SCHEMA), ["page_id"], "nid", chunk=chunk, position="position")
+    df = H.fill_down(spark.createDataFrame(rows, SCHEMA), ["page_id"], "nid", large=large, position="position")
     got = {
         (r.page_id, r.nid): (r.position, *[r[f"lvl{k}"] for k in range(7)], r.anchor) for r in df.collect()
     }
     assert got == expected(rows)
 
 
-@pytest.mark.parametrize("max_hot", [0, 100])
-def test_all_groups_are_cut_when_too_many_are_large(spark, monkeypatch, max_hot):
-    monkeypatch.setattr("docrecords.operators.prefix.MAX_HOT", max_hot)
+def test_large_groups_with_sparse_orders_of_any_type(spark):
     rows = rows_of(2)
-    df = H.add_position(spark.createDataFrame(rows, SCHEMA), ["page_id"], "nid", chunk=20)
-    want = {k: v[0] for k, v in expected(rows).items()}
-    assert {(r.page_id, r.nid): r.position for r in df.collect()} == want
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("nid", F.timestamp_seconds(F.col("nid").cast("long") * 1_000_003))
+    df = H.add_position(df, ["page_id"], "nid", large=True)
+    want = {(k[0], k[1] * 1_000_003): v[0] for k, v in expected(rows).items()}
+    got = df.select("page_id", F.unix_seconds("nid").alias("nid"), "position").collect()
+    assert {(r.page_id, r.nid): r.position for r in got} == want
 
 
 def test_batches(spark):
     docs = spark.range(260).select((F.col("id") % 2).alias("page"), F.col("id").alias("position"))
-    for chunk in (None, 30):
-        got = I.add_batches(docs, ["page"], "position", chunk=chunk).groupBy("page", "batch").count().collect()
+    for large in (False, True):
+        got = I.add_batches(docs, ["page"], "position", large=large).groupBy("page", "batch").count().collect()
         assert sorted((r.page, r.batch, r["count"]) for r in got) == [
             (p, b, 50 if b < 3 else 30) for p in (0, 1) for b in (1, 2, 3)
         ]
@@ -124,12 +124,12 @@ def test_hit_cap(spark):
         if total <= 120:
             kept.append((page, total))
         total += n
-    got = C.cap_pages(per_page, 120, chunk=7)
+    got = C.cap_pages(per_page, 120)
     assert sorted((r.page_id, r.before) for r in got.collect()) == sorted(kept)
-    assert C.cap_pages(per_page, 0, chunk=7).count() == 60
+    assert C.cap_pages(per_page, 0).count() == 60
     assert C.cap_records(per_page, per_page, 120).count() == len(kept)
 
 
 def test_running_sum_needs_no_group(spark):
-    df = running(spark.range(50), [], "id", sums={"before": F.col("id")}, chunk=8)
+    df = running(spark.range(50), [], "id", sums={"before": F.col("id")}, large=True)
     assert {r.id: r.before for r in df.collect()} == {i: sum(range(i)) for i in range(50)}
