@@ -10,10 +10,11 @@ one ``g`` for all; the fit is found in a few steps, and no step reads a text aga
 ``floor(rate + u)`` times with ``u`` from a hash of their id; rates from ``whole`` on count as 1, so that documents at the
 edge of the bound are not thinned out by noise in the classifier.
 
-The targets are shares of tokens. The wanted total is the largest that needs no document more than ``most`` times.
+The targets are shares of tokens. The total is set by one domain, the anchor, which is used whole (``most`` times). A domain
+that has fewer tokens than its share is used whole too; no other one is thinned out for it.
 
-Defined results: null text counts as empty, has no tokens and rate 1. Without labelled rows, or where a domain has no
-tokens, its target cannot be met; it is left out and the other shares keep their proportions. Repeated rows are treated
+Defined results: null text counts as empty, has no tokens and rate 1. Without labelled rows all domains are equally likely.
+Repeated rows are treated
 alike. An empty table gives an empty one. Extra columns stay.
 """
 
@@ -39,9 +40,11 @@ class Mixing:
 
     domains: tuple[str, ...] = ("good", "low", "toxic")
     targets: tuple[float, ...] = (0.94, 0.03, 0.03)
+    anchor: str = "good"
     buckets: int = 1 << 12
     rows: int = 12_000
     epochs: int = 4
+    least_updates: int = 400
     batch: int = 128
     rate: float = 0.03
     most: float = 1.0
@@ -68,7 +71,8 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, mixing: Mixing) -> np.ndarray:
     w = np.zeros((x.shape[1] + 1, k), np.float32)
     first, second, step = np.zeros_like(w), np.zeros_like(w), 0
     hot = np.eye(k, dtype=np.float32)[y]
-    for _ in range(mixing.epochs):
+    # few rows are seen more often
+    for _ in range(max(mixing.epochs, -(-mixing.least_updates * mixing.batch // len(y))) if len(y) else 0):
         order = rng.permutation(len(y))
         for at in range(0, len(order), mixing.batch):
             rows, step = order[at : at + mixing.batch], step + 1
@@ -145,11 +149,11 @@ def totals(each: DataFrame, rate: Column, k: int) -> np.ndarray:
 
 
 def wanted(have: np.ndarray, mixing: Mixing) -> np.ndarray:
-    """Target totals: the shares at the largest total that needs no domain more than ``most`` times."""
-    share = np.where(have > 0, np.array(mixing.targets), 0.0)
-    share = share / share.sum() if share.sum() else share
-    total = min((mixing.most * h / s for h, s in zip(have, share) if s > 0), default=0.0)
-    return share * total
+    """Target totals: the shares of the total at which the anchor is used ``most`` times; a domain that has less than its
+    share is used as often as all of it allows."""
+    share, anchor = np.array(mixing.targets), mixing.domains.index(mixing.anchor)
+    total = mixing.most * have[anchor] / share[anchor]
+    return np.minimum(share * total, mixing.most * have)
 
 
 def fit_rates(each: DataFrame, mixing: Mixing) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

@@ -269,7 +269,8 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, held: np.ndarray, trai
 def learn(proposals: DataFrame, doc_id: str = "doc_id", training: Training = Training()) -> Boosted:
     """Count all proposals by features, label and fold, and fit the trees to the counts."""
     held = F.coalesce(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(5)) == 0, F.lit(False))
-    each = proposals.filter(F.size("_p_c") > 0).select(held.alias("held"), F.explode("_p_c").alias("c"))
+    # an inner explode would filter by the size of its input, below the projections and with a copy of their expressions
+    each = proposals.select(held.alias("held"), F.explode_outer("_p_c").alias("c")).filter("c is not null")
     names = ["kind", *FEATURES]
     cube = each.groupBy("held", "c.y", *[f"c.{n}" for n in names]).count()
     rows = cube.collect()  # at most CUBE_ROWS

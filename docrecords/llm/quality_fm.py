@@ -32,6 +32,7 @@ class Machine:
     rank: int = 8
     rows: int = 12_000
     epochs: int = 4
+    steps: int = 400
     batch: int = 128
     rate: float = 0.02
     decay: float = 1e-5
@@ -68,14 +69,15 @@ def fit(x: np.ndarray, y: np.ndarray, machine: Machine) -> Fitted:
     share = float(y.mean()) if len(y) else 0.5
     linear = np.zeros(machine.width, np.float32)
     factors = rng.normal(0, 0.01, (machine.width, machine.rank)).astype(np.float32)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Fitted(30.0 * (share - 0.5) * 2 if len(y) else 0.0, linear, factors * 0)
     bias = np.float32(np.log(share / (1 - share)))
     values = [np.array([bias], np.float32), linear, factors]
     first = [np.zeros_like(v) for v in values]
     second = [np.zeros_like(v) for v in values]
     step = 0
-    for _ in range(machine.epochs):
+    # few rows are seen more often
+    for _ in range(max(machine.epochs, -(-machine.steps * machine.batch // len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), machine.batch):
             rows = order[at : at + machine.batch]

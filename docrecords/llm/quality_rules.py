@@ -158,7 +158,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, model: RatioModel = RatioM
 
 def keep_good(docs: DataFrame, labels: DataFrame, model: RatioModel = RatioModel()) -> DataFrame:
     """The documents that are kept, with their own columns only."""
-    return judged(docs, trusted_ids(labels, model.trusted_rows), model).filter("_q_kept").select(*docs.columns)
+    out = judged(docs, trusted_ids(labels, model.trusted_rows), model)
+    # a filter would be pushed below the projections and take a copy of all their expressions along
+    return out.withColumn("_q_row", F.explode(F.when(F.col("_q_kept"), F.array(F.lit(1))))).select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def near_links(fps: DataFrame, radius: int, unit: int = UNIT, largest: int = LAR
         other = F.col("p").bitwiseXOR(F.col("x"))
         units = units.select("fp", F.least("p", other).alias("lo"), F.greatest("p", other).alias("hi"))
         if cut is not None:
-            inside = (F.shiftrightunsigned("lo", depth - above) == cut["lo"]) & (F.shiftrightunsigned("hi", depth - above) == cut["hi"])
+            inside = (F.shiftrightunsigned("lo", depth - above) == F.col("_lo")) & (F.shiftrightunsigned("hi", depth - above) == F.col("_hi"))
             units = units.join(cut, inside, "left_semi")
         crowded = units.groupBy("lo", "hi").count().filter(F.col("count") > largest).select("lo", "hi")
         crowded = stored(crowded, "crowded")
@@ -198,7 +198,8 @@ def near_links(fps: DataFrame, radius: int, unit: int = UNIT, largest: int = LAR
         links = found if links is None else links.unionByName(found)
         if not more:
             return links
-        above, depth, cut = depth, min(depth + 6, BITS - 8), crowded
+        above, depth = depth, min(depth + 6, BITS - 8)
+        cut = crowded.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
