@@ -58,15 +58,13 @@ def test_domains():
 
 
 def test_variables():
-    rule = {
-        "url": "https://test.com/doc/(?P<version>.*?)/(?P<type_of_content>.*?)/",
-        "variables": {"version": ["1.0", "1.1"], "type_of_content": ["book", "bundles", "reference", "a", "b", "c"]},
-    }
-    s = spec(start_urls=[rule, {"url": "http://x/(?P<version>.*?)/", "variables": {"version": ["2"]}}])
-    assert len(s.start_urls) == 13
-    assert s.start_urls[0].url == "https://test.com/doc/1.0/book/" and s.start_urls[1].url.endswith("/1.0/bundles/")
-    assert s.start_urls[6].url_attributes == {"version": "1.1", "type_of_content": "book"}
-    assert s.facets() == ["type_of_content", "version"]
+    months = ["jan", "mar", "may", "jul", "sep", "nov"]
+    rule = {"url": "http://garden.example/(?P<bed>.*?)/(?P<month>.*?).html", "variables": {"month": months, "bed": ["north", "south"]}}
+    s = spec(start_urls=[rule, {"url": "http://shed.example/(?P<bed>.*?)/", "variables": {"bed": ["west"]}}])
+    want = [f"http://garden.example/{bed}/{month}.html" for bed in ("north", "south") for month in months]
+    assert [r.url for r in s.start_urls] == [*want, "http://shed.example/west/"]
+    assert s.start_urls[7].url_attributes == {"bed": "south", "month": "mar"}
+    assert s.facets() == ["bed", "month"]
 
 
 def test_used_levels():
