@@ -1 +1,2 @@
 TESTDATA = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"

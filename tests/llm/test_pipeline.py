@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
-from helpers import TESTDATA
+from helpers import LARGER as TESTDATA  # statistics of a stage need some rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
