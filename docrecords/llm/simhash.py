@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docrecords.llm.common import importable, stored, table
@@ -216,10 +216,20 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str
 
 
 def keep_one(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the document with the smallest id, and of rows that share this id the first by text."""
+    """Of each component the document with the smallest id, and of rows that share this id the first by text. Rows without
+    an id cannot be told apart and stay."""
     found = near_duplicates(docs, radius, size, doc_id, text)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_n_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_n_gone"), "left_anti")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_n_id")).distinct()
+    kept = docs.join(gone, F.col(doc_id) == F.col("_n_id"), "left_anti")
+    several = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_n_id")).count().filter("count > 1").select("_n_id")
+    several = stored(several, "repeated-ids")
+    if several.isEmpty():
+        return kept
+    # only rows of repeated ids are ranked
+    again = kept.join(several, F.col(doc_id) == F.col("_n_id"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(text))
+    first = again.withColumn("_n_rank", rank).filter("_n_rank = 1").drop("_n_rank")
+    return kept.join(several, F.col(doc_id) == F.col("_n_id"), "left_anti").unionByName(first)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

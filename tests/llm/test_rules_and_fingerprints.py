@@ -143,7 +143,9 @@ def test_simhash_odd_rows(odd, none):
     by_id = {r.doc_id: r for r in rows}
     assert [by_id[i].fp for i in (1, 2, 3)] == [0, 0, 0] and {by_id[i].component_id for i in (1, 2, 3)} == {1}
     kept = S.keep_one(odd)
-    assert kept.columns == odd.columns and {1, 6, None} <= {r.doc_id for r in kept.collect()}
+    assert kept.columns == odd.columns
+    # 6, 6 and 7 have the same words, and 1, 2 and 3 have none
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "10", "4", "5", "6", "8", "9", "None"])
     assert S.near_duplicates(none).count() == 0 and S.keep_one(none).count() == 0
 
 
