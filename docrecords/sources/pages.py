@@ -61,7 +61,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_html_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Files as pages; the path is the URL and its hash the id."""
+    """Files as pages; the path is the URL and its hash the id. Empty files give no page."""
     files = spark.read.format("binaryFile").load(glob)
     return files.select(
         F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), decode_body(F.col("content")).alias("html")
