@@ -48,7 +48,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
-    hashes = shingle_hashes(text, size)
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), BLOCK):
         octets = hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -218,7 +221,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str
 def keep_one(docs: DataFrame, radius: int = 2, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component the document with the smallest id, and of rows that share this id the first by text. Rows without
     an id cannot be told apart and stay."""
-    found = near_duplicates(docs, radius, size, doc_id, text)
+    return one_of_each(docs, near_duplicates(docs, radius, size, doc_id, text), doc_id, text)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay by ``found(doc_id, component_id)``."""
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_n_id")).distinct()
     kept = docs.join(gone, F.col(doc_id) == F.col("_n_id"), "left_anti")
     several = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_n_id")).count().filter("count > 1").select("_n_id")
