@@ -27,11 +27,9 @@ SCALE = 10_000
 
 @dataclass(frozen=True)
 class RatioModel:
-    """``trusted_rows``: trusted documents that are looked at, at most; the first by hash of their id. Their ids are
-    broadcast, 8 bytes each. ``threshold``: mean log ratio below which a text is rejected."""
+    """``threshold``: mean log ratio below which a text is rejected."""
 
     buckets: int = 1 << 15
-    trusted_rows: int = 20_000
     smoothing: float = 2_000.0
     threshold: float = -0.3
 
@@ -104,16 +102,15 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("_q_lines", "_q_hashes", "_q_windows").withColumn("_q_base_failed", failed)
 
 
-def trusted_ids(labels: DataFrame, rows: int, doc_id: str = "doc_id") -> DataFrame:
-    """Ids of documents marked good, at most ``rows``, taken in the order of a hash."""
-    good = labels.filter(F.col("quality") == 1).select(F.col(doc_id).alias("_q_id")).filter("_q_id is not null").distinct()
-    return good.orderBy(F.xxhash64("_q_id"), "_q_id").limit(rows)
+def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Ids of all documents marked good."""
+    return labels.filter(F.col("quality") == 1).select(F.col(doc_id).alias("_q_id")).filter("_q_id is not null").distinct()
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, model: RatioModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``bucket, raw, target``: counts over all n-grams of all documents, and of the trusted ones."""
     marked = docs.select(F.col(doc_id).alias("_q_id"), F.col(text).alias("_q_text")).join(
-        F.broadcast(trusted.withColumn("_q_good", F.lit(1))), "_q_id", "left"
+        trusted.withColumn("_q_good", F.lit(1)), "_q_id", "left"
     )
     marked = marked.select(F.coalesce("_q_good", F.lit(0)).alias("good"), words_of(F.col("_q_text")).alias("words"))
     grams = marked.select("good", F.explode(ngrams(F.col("words"), model.buckets)).alias("bucket"))
@@ -151,14 +148,14 @@ def judged(docs: DataFrame, trusted: DataFrame, model: RatioModel = RatioModel()
 
 def quality_rules(docs: DataFrame, labels: DataFrame, model: RatioModel = RatioModel()) -> DataFrame:
     """One row per document: counted columns, ``base_failed``, ``kept``, ``ratio``."""
-    out = judged(docs, trusted_ids(labels, model.trusted_rows), model)
+    out = judged(docs, trusted_ids(labels), model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"]
     return out.select("doc_id", *[F.col(f"_q_{n}").alias(n) for n in names])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, model: RatioModel = RatioModel()) -> DataFrame:
     """The documents that are kept, with their own columns only."""
-    out = judged(docs, trusted_ids(labels, model.trusted_rows), model)
+    out = judged(docs, trusted_ids(labels), model)
     # a filter would be pushed below the projections and take a copy of all their expressions along
     return out.withColumn("_q_row", F.explode(F.when(F.col("_q_kept"), F.array(F.lit(1))))).select(*docs.columns)
 

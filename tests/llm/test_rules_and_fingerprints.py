@@ -79,6 +79,13 @@ def test_ratios_equal_a_plain_count(spark):
         assert abs(ratios[b] / Q.SCALE - want) < 1e-4
 
 
+def test_all_trusted_rows_count(spark):
+    df = spark.range(20_400).select(F.col("id").alias("doc_id"), F.format_string("a%d b%d c", "id", F.col("id") % 7).alias("text"))
+    labels = df.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    # where all documents are trusted, target and raw text are the same
+    assert {r.ratio for r in Q.quality_rules(df, labels).collect()} == {0.0}
+
+
 def plain_fingerprint(text, size=3):
     words = (text or "").encode().lower().split()
     parts = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([b" ".join(words)] if words else [])
