@@ -1,7 +1,7 @@
 """Quality rules: counted rules, then a hashed n-gram log-likelihood ratio of trusted and raw text.
 
-Everything here is DataFrame functions. N-grams of a text are its words and the word endings of three characters, each
-hashed into one of ``buckets``. One pass counts the buckets over all documents (raw) and over the
+Everything here is DataFrame functions. N-grams of a text are its words, its pairs of neighbouring words and the word
+endings of three characters, each hashed into one of ``buckets``. One pass counts the buckets over all documents (raw) and over the
 trusted ones (target). A document's score is the mean over its n-grams of ``log(p_target / p_raw)``; the target is smoothed
 towards the raw distribution, so buckets without evidence count nothing.
 
@@ -39,14 +39,17 @@ def words_of(text: Column) -> Column:
 
 
 def ngrams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of words and of word endings. The kind is hashed too, so kinds do not meet by equal text."""
+    """Bucket numbers of words, of neighbouring words and of word endings; ``words`` is a column, not an expression. The kind
+    is hashed too, so kinds do not meet by equal text."""
 
-    def bucket(kind: int, part: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(kind), part), F.lit(buckets)).cast("int")
+    def bucket(kind: int, *parts: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(kind), *parts), F.lit(buckets)).cast("int")
 
     single = F.transform(words, lambda w: bucket(1, w))
     ending = F.transform(words, lambda w: bucket(3, F.substring(w, -3, 3)))
-    return F.concat(single, ending)
+    heads = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    double = F.transform(heads, lambda w, i: bucket(2, w, F.get(words, i + 1)))
+    return F.concat(single, double, ending)
 
 
 def window_hashes(words: Column) -> Column:

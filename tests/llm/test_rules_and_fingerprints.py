@@ -79,6 +79,26 @@ def test_ratios_equal_a_plain_count(spark):
         assert abs(ratios[b] / Q.SCALE - want) < 1e-4
 
 
+def test_order_of_words_counts(spark):
+    random.seed(12)
+    follow = {f"w{i}": [f"w{random.randrange(40)}" for _ in range(2)] for i in range(40)}
+
+    def clean():
+        words = ["w0"]
+        while len(words) < 80:
+            words.append(random.choice(follow[words[-1]]))
+        return words
+
+    texts = [clean() for _ in range(300)]
+    junk = [random.sample(t, len(t)) for t in texts[200:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + junk)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.ratio for r in Q.quality_rules(df, labels).collect()}
+    # the same words in another order
+    assert all(got[300 + i] < got[200 + i] - 0.1 for i in range(100))
+
+
 def test_all_trusted_rows_count(spark):
     df = spark.range(20_400).select(F.col("id").alias("doc_id"), F.format_string("a%d b%d c", "id", F.col("id") % 7).alias("text"))
     labels = df.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
