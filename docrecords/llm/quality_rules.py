@@ -112,8 +112,9 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, model: RatioModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``bucket, raw, target``: counts over all n-grams of all documents, and of the trusted ones."""
+    # both sides are dealt out by id whatever their size, so small and large tables run alike
     marked = docs.select(F.col(doc_id).alias("_q_id"), F.col(text).alias("_q_text")).join(
-        trusted.withColumn("_q_good", F.lit(1)), "_q_id", "left"
+        trusted.withColumn("_q_good", F.lit(1)).hint("shuffle_hash"), "_q_id", "left"
     )
     marked = marked.select(F.coalesce("_q_good", F.lit(0)).alias("good"), words_of(F.col("_q_text")).alias("words"))
     grams = marked.select("good", F.explode(ngrams(F.col("words"), model.buckets)).alias("bucket"))
