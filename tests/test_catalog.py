@@ -4,11 +4,11 @@ import os
 
 import duckdb
 import pytest
-from conftest import TESTDATA
 
 from docrecords.plans.catalog import QUERIES, SQL
 
-FOLDER = f"{TESTDATA}/sf0.001"
+#: not taken from conftest: a conftest of a test subfolder can stand in its place under that module name
+FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
