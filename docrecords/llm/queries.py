@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from docrecords.llm.chat_format import op6_chat_format
 from docrecords.llm.language_hd import op2_language
+from docrecords.llm.lexical_search import ORACLE_SQL as SEARCH_SQL
+from docrecords.llm.lexical_search import op11_lexical_search
 from docrecords.llm.lz_fingerprint import op4_lz_fingerprint
 from docrecords.llm.mixing import op9_mixing
 from docrecords.llm.pii import op5_pii
@@ -29,8 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_lexical_search": op11_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
 #: hashes, fitted models, fingerprints and a tokenizer have no SQL form; their tests compare with brute force
 SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+SQL |= {"op11_lexical_search": SEARCH_SQL}
