@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from docrecords.llm.chat_format import op6_chat_format
+from docrecords.llm.filter_audit import ORACLE_SQL as AUDIT_SQL
+from docrecords.llm.filter_audit import op12_filter_audit
 from docrecords.llm.language_hd import op2_language
 from docrecords.llm.lexical_search import ORACLE_SQL as SEARCH_SQL
 from docrecords.llm.lexical_search import op11_lexical_search
@@ -32,9 +34,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
     "op11_lexical_search": op11_lexical_search,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
 #: hashes, fitted models, fingerprints and a tokenizer have no SQL form; their tests compare with brute force
 SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-SQL |= {"op11_lexical_search": SEARCH_SQL}
+SQL |= {"op11_lexical_search": SEARCH_SQL, "op12_filter_audit": AUDIT_SQL}
