@@ -21,6 +21,8 @@ from docrecords.llm.quality_rules import op8_quality_rules
 from docrecords.llm.repeats import op7_suffix_repeats
 from docrecords.llm.sentencepiece_stream import op1_sentencepiece
 from docrecords.llm.simhash import op10_simhash
+from docrecords.llm.warc import ORACLE_SQL as WARC_SQL
+from docrecords.llm.warc import op13_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -35,9 +37,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_lexical_search": op11_lexical_search,
     "op12_filter_audit": op12_filter_audit,
+    "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
 
 #: hashes, fitted models, fingerprints and a tokenizer have no SQL form; their tests compare with brute force
 SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-SQL |= {"op11_lexical_search": SEARCH_SQL, "op12_filter_audit": AUDIT_SQL}
+SQL |= {"op11_lexical_search": SEARCH_SQL, "op12_filter_audit": AUDIT_SQL, "op13_warc": WARC_SQL}
