@@ -4,8 +4,9 @@ A document is a sparse vector over the query vocabulary: for a term of tf occurr
 with ``m = 75 + (25 n N) div L``. A query is a sparse vector of ``count * w`` with ``w = floor(1000 ln((2N+2)/(2df+1)))``.
 The score is their inner product, in 64-bit integers.
 
-Counting is done by Spark: terms by a regular expression in the JVM, df by a pre-aggregated shuffle on the term, tf by a
-pre-aggregated shuffle on (row, term) of query terms only. Each partition of document vectors then builds a ball tree:
+Counting is done by Spark in one pass over the texts: terms by a split in the JVM, then a pre-aggregated shuffle on
+(row, query term) that keeps one row per document for its other terms; this table is stored, and N, L and df come from
+it. Document vectors are dealt by row into trees of about ``TREE_ENTRIES`` entries. Each tree is a ball tree:
 nodes split at the median of the projection on the line between two far members; a node keeps its sparse centroid and
 radius. Every query walks the tree best-first by the bound ``<q, c> + |q| r``, raised by a safe margin for rounding, and
 drops a subtree whose bound is below the k-th score found (equal bounds are walked, since equal scores order by doc_id).
@@ -25,14 +26,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docrecords.llm.common import importable, table
+from docrecords.llm.common import importable, partitions, stored, table
 
 # fixed values of the contract: what a term is, and the constants of the score
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: what lies between terms; terms are the non-empty pieces of a split on it, the same as the maximal matches of TERM
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K1000, B25, M12, SCALE = 1000, 25, 12, 1_000_000_000
 
@@ -42,11 +45,13 @@ LEAF = 32
 #: queries sent to the executors at a time, and query terms at most in a vocabulary that is broadcast
 QUERY_BLOCK = 2000
 VOCAB_BROADCAST = 1_000_000
+#: (document, query term) entries of one tree at most, on average: they set the number of trees
+TREE_ENTRIES = 1 << 21
 
 
 def terms_of(text: F.Column) -> F.Column:
     """Terms of a text, only A-Z lower-cased; null gives none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def weight(n_docs: int, df: F.Column) -> F.Column:
@@ -63,8 +68,9 @@ class BallTree:
         self.dim = int(indices.max()) + 1 if len(indices) else 1
         self.norm2 = np.bincount(np.repeat(np.arange(self.rows), np.diff(indptr)), weights=self.fvalues**2, minlength=self.rows)
         self.leaf = leaf
-        # node: (member rows, centroid dims, centroid values, radius, children)
+        # node: (member rows, centroid dims, centroid values, radius, children); a leaf's entries in one piece
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray, float, tuple[int, ...]]] = []
+        self.leaves: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         if self.rows:
             self._build(np.arange(self.rows))
 
@@ -97,6 +103,9 @@ class BallTree:
                 m, d, v, r, children = self.nodes[parent]
                 self.nodes[parent] = (m, d, v, r, (*children, index))
             if len(members) <= self.leaf or radius == 0.0:
+                lengths = self.indptr[members + 1] - self.indptr[members]
+                at = np.repeat(self.indptr[members] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                self.leaves[index] = (self.indices[at], self.values[at], np.cumsum(lengths) - lengths)
                 continue
             a = members[int(np.argmax(dist2))]
             da = self._row_dense(a)
@@ -148,12 +157,12 @@ class BallTree:
                     if b >= kth():
                         heapq.heappush(frontier, (-b, child))
                 continue
-            for row in members.tolist():
-                s, e = self.indptr[row], self.indptr[row + 1]
-                score = int(q_int[self.indices[s:e]] @ self.values[s:e])
-                if score <= 0:
-                    continue
-                entry = (score, _inverted(keys[row]), row)
+            indices, values, offsets = self.leaves[node]
+            # exact scores of all members at once, in 64-bit integers; every member has an entry
+            scores = np.add.reduceat(q_int[indices] * values, offsets)
+            for at in np.flatnonzero(scores >= kth()).tolist():
+                row = int(members[at])
+                entry = (int(scores[at]), _inverted(keys[row]), row)
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
@@ -167,35 +176,36 @@ def _inverted(key: tuple[int, int]) -> tuple[int, int]:
     return (-(doc if doc is not None else 2**63), -row)
 
 
-def document_vectors(docs: DataFrame, vocab: DataFrame, n_docs: int, n_terms: int, small_vocab: bool) -> DataFrame:
-    """``(_s_row, doc_id, idx array<int>, val array<long>)`` of the documents with a query term."""
-    m = F.lit(K1000 // 10 - B25) + F.expr(f"(25 * _s_n * {n_docs}L) div {max(n_terms, 1)}L")
+def term_frequencies(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``(_s_row, doc_id, _s_n, _s_idx, _s_tf)``: every document once with a null term, and once per query term it holds.
+
+    The only pass that cuts texts into terms; ``_s_n`` counts all terms of the document.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("_s_row"), F.col("doc_id").cast("long").alias("doc_id"), terms_of(F.col("text")).alias("_s_terms"))
-    tokens = rows.select("_s_row", "doc_id", F.size("_s_terms").cast("long").alias("_s_n"), F.explode("_s_terms").alias("_s_term"))
-    vocab_side = F.broadcast(vocab) if small_vocab else vocab
-    counted = tokens.join(vocab_side, "_s_term").groupBy("_s_row", "doc_id", "_s_n", "_s_idx").agg(F.count(F.lit(1)).alias("_s_tf"))
-    scored = counted.select("_s_row", "doc_id", "_s_idx", (F.lit(SCALE) * F.col("_s_tf")).cast("long").alias("_s_num"), (F.lit(K1000) * F.col("_s_tf") + F.lit(M12) * m).cast("long").alias("_s_den"))
-    return scored.groupBy("_s_row", "doc_id").agg(
-        F.collect_list(F.struct("_s_idx", F.expr("_s_num div _s_den").alias("_s_val"))).alias("_s_vec")
-    ).select("_s_row", "doc_id", F.col("_s_vec._s_idx").alias("idx"), F.col("_s_vec._s_val").alias("val"))
-
-
-def _searched(vectors: pd.DataFrame, queries: list[tuple[object, np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
-    lengths = vectors["idx"].map(len).to_numpy()
-    indptr = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    indices = np.concatenate([np.asarray(a, dtype=np.int64) for a in vectors["idx"]]) if len(vectors) else np.zeros(0, np.int64)
-    values = np.concatenate([np.asarray(a, dtype=np.int64) for a in vectors["val"]]) if len(vectors) else np.zeros(0, np.int64)
-    names, indices = np.unique(indices, return_inverse=True)
-    tree = BallTree(indptr, indices.astype(np.int64), values)
-    doc_ids = [None if pd.isna(d) else int(d) for d in vectors["doc_id"]]
-    keys = list(zip(doc_ids, vectors["_s_row"].astype(np.int64).tolist()))
-    out = []
+    tokens = rows.select("_s_row", "doc_id", F.size("_s_terms").cast("long").alias("_s_n"), F.explode_outer("_s_terms").alias("_s_term"))
+    return tokens.join(known, "_s_term", "left").groupBy("_s_row", "doc_id", "_s_n", "_s_idx").agg(F.count(F.lit(1)).alias("_s_tf"))
+
+
+def _searched(entries: pa.Table, queries: list[tuple[object, np.ndarray, np.ndarray]], k: int) -> pa.RecordBatch:
+    """Top ``k`` of one tree for every query; the entries come sorted by row."""
+    rows = entries.column("_s_row").to_numpy()
+    starts = np.flatnonzero(np.diff(rows)) + 1
+    indptr = np.concatenate([[0], starts, [len(rows)]]).astype(np.int64)
+    firsts = indptr[:-1]
+    ids = entries.column("doc_id")
+    valid = ids.is_valid().to_numpy(zero_copy_only=False)[firsts]
+    doc_ids = [int(d) if v else None for d, v in zip(ids.fill_null(0).to_numpy()[firsts].tolist(), valid.tolist())]
+    names, indices = np.unique(entries.column("_s_idx").to_numpy(), return_inverse=True)
+    tree = BallTree(indptr, indices.astype(np.int64), entries.column("_s_val").to_numpy().astype(np.int64))
+    keys = list(zip(doc_ids, rows[firsts].tolist()))
+    out: list[tuple] = []
     for item, q_names, q_val in queries:
         at = np.searchsorted(names, q_names)
         found = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == q_names) if len(names) else np.zeros(len(q_names), bool)
         for score, row in tree.search(at[found], q_val[found], keys, k):
             out.append((item, doc_ids[row], keys[row][1], score))
-    return pd.DataFrame(out, columns=["item_id", "doc_id", "_s_row", "score"])
+    columns = list(zip(*out)) if out else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "doc_id", "_s_row", "score"])
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
@@ -204,10 +214,6 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     importable(spark)
     docs = docs.select(F.col("doc_id"), F.col("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
-    sizes = docs.select(F.size(terms_of(F.col("text"))).alias("n")).agg(
-        F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")
-    ).first()
-    n_docs, n_terms = int(sizes["N"]), int(sizes["L"])
     q_terms = items.select("item_id", F.explode(terms_of(F.col("text"))).alias("_s_term"))
     # a query term is named by its 64-bit hash; that no two query terms share one is checked, so scores stay exact
     vocab = q_terms.select("_s_term").distinct().withColumn("_s_idx", F.xxhash64("_s_term")).cache()
@@ -217,24 +223,32 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     if counts["terms"] == 0:
         vocab.unpersist()
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    small_vocab = counts["terms"] <= VOCAB_BROADCAST
-    known = F.broadcast(vocab) if small_vocab else vocab
-    df = (
-        docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("_s_term"))
-        .join(known, "_s_term")
-        .groupBy("_s_term", "_s_idx")
-        .agg(F.count(F.lit(1)).alias("_s_df"))
-    )
+    known = F.broadcast(vocab) if counts["terms"] <= VOCAB_BROADCAST else vocab
+    tf = stored(term_frequencies(docs, known), "search-tf")
+    sizes = tf.groupBy("_s_row").agg(F.max("_s_n").alias("n")).agg(
+        F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")
+    ).first()
+    n_docs, n_terms = int(sizes["N"]), int(sizes["L"])
+    tf = tf.filter(F.col("_s_idx").isNotNull())
+    df = tf.groupBy("_s_idx").agg(F.count(F.lit(1)).alias("_s_df"))
     q_vec = (
         q_terms.join(known, "_s_term")
         .groupBy("item_id", "_s_term", "_s_idx")
         .agg(F.count(F.lit(1)).alias("_s_qc"))
-        .join(df, ["_s_term", "_s_idx"])
+        .join(df, "_s_idx")
         .select("item_id", "_s_idx", (F.col("_s_qc") * weight(n_docs, F.col("_s_df"))).alias("_s_q"))
         .groupBy("item_id")
         .agg(F.collect_list(F.struct("_s_idx", "_s_q")).alias("_s_q"))
     )
-    vectors = document_vectors(docs, vocab, n_docs, n_terms, small_vocab)
+    m = F.lit(K1000 // 10 - B25) + F.expr(f"(25 * _s_n * {n_docs}L) div {max(n_terms, 1)}L")
+    value = F.expr(f"({SCALE}L * _s_tf) div ({K1000}L * _s_tf + {M12}L * _s_m)")
+    trees = max(partitions(spark), math.ceil(tf.count() / TREE_ENTRIES))
+    vectors = (
+        tf.withColumn("_s_m", m)
+        .select("_s_row", "doc_id", "_s_idx", value.alias("_s_val"))
+        .repartition(trees, "_s_row")
+        .sortWithinPartitions("_s_row")
+    )
     n_items = q_vec.count()
     blocks = max(1, math.ceil(n_items / QUERY_BLOCK))
     found = []
@@ -243,12 +257,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         queries = [(r["item_id"], np.array([x[0] for x in r["_s_q"]], np.int64), np.array([x[1] for x in r["_s_q"]], np.int64)) for r in part]
         sent = spark.sparkContext.broadcast(queries)
 
-        def each(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            whole = [f for f in frames if len(f)]
-            if whole:
-                yield _searched(pd.concat(whole, ignore_index=True), sent.value, k)
+        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches([b for b in batches if b.num_rows])
+            if whole.num_rows:
+                yield _searched(whole.combine_chunks(), sent.value, k)
 
-        found.append(vectors.mapInPandas(each, "item_id long, doc_id long, _s_row long, score long"))
+        found.append(vectors.mapInArrow(each, "item_id long, doc_id long, _s_row long, score long"))
     merged = found[0]
     for more in found[1:]:
         merged = merged.unionByName(more)
