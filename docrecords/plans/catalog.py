@@ -15,6 +15,7 @@ from docrecords.operators import hierarchy as H
 from docrecords.operators import index as I
 from docrecords.operators import lookup as L
 from docrecords.operators import page_attrs as P
+from docrecords.operators import rule_table as RT
 from docrecords.operators import url_rules as R
 from docrecords.operators.decompose import decompose, node_rows, page_links
 from docrecords.operators.select import page_text, select_nids, texts_of
@@ -1241,6 +1242,28 @@ def page_rules(spark, folder):
     )
 
 
+@query(
+    f"""
+WITH r AS (
+  SELECT p.page_id * 4 + l.i AS ord, {_ROOT} || '/' || l.lang || '/' AS pattern
+  FROM pages p, (VALUES ('en', 0), ('fr', 1), ('de', 2), ('es', 3)) l(lang, i)
+)
+SELECT u.page_id,
+       min(r.ord) FILTER (WHERE regexp_matches(u.url, r.pattern)) AS found_ord,
+       min(r.ord) FILTER (WHERE regexp_matches(u.url, '^(?:' || r.pattern || ')')) AS start_ord
+FROM pages u, r
+GROUP BY u.page_id
+"""
+)
+def rule_table(spark, folder):
+    """First of a table of rules per page, four for every page of the table, matched by an equi-join on literals."""
+    langs = F.array(*[F.lit(x) for x in S.LANGS])
+    root = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    made = urls(spark, folder).select("page_id", root.alias("root"), F.posexplode(langs).alias("i", "lang"))
+    rules = made.select((F.col("page_id") * 4 + F.col("i")).alias("ord"), F.concat("root", F.lit("/"), "lang", F.lit("/")).alias("pattern"))
+    return RT.first_rules(urls(spark, folder), rules).select("page_id", "found_ord", "start_ord")
+
+
 @query(
     """
 WITH v AS (
