@@ -15,6 +15,7 @@ from docrecords.operators import hierarchy as H
 from docrecords.operators import index as I
 from docrecords.operators import lookup as L
 from docrecords.operators import page_attrs as P
+from docrecords.operators import postings as PO
 from docrecords.operators import rule_table as RT
 from docrecords.operators import url_rules as R
 from docrecords.operators.decompose import decompose, node_rows, page_links
@@ -761,6 +762,17 @@ def keyword_docs(spark, folder):
     return L.with_words(S.event_docs(spark, folder), "Click, (42)!").select("objectID", "url", "content")
 
 
+@query(
+    DOC_CTES
+    + f"SELECT \"objectID\", url, content FROM docs WHERE list_contains(string_split({_ALL_TEXT}, ' '), 'click') AND list_contains(string_split({_ALL_TEXT}, ' '), '42')"
+)
+def posted_keyword_docs(spark, folder):
+    """Documents with all words of a query, found in a posting table built from all documents."""
+    docs = S.event_docs(spark, folder)
+    index = PO.build(docs)
+    return PO.with_all_words(docs, index, "Click, (42)!").select("objectID", "url", "content")
+
+
 @query(
     PAGE_CTES
     + f""", hits AS (
