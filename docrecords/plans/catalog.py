@@ -17,6 +17,7 @@ from docrecords.operators import lookup as L
 from docrecords.operators import page_attrs as P
 from docrecords.operators import postings as PO
 from docrecords.operators import rule_table as RT
+from docrecords.operators import url_layout as U
 from docrecords.operators import url_rules as R
 from docrecords.operators.decompose import decompose, node_rows, page_links
 from docrecords.operators.select import page_text, select_nids, texts_of
@@ -697,6 +698,24 @@ def partial_update(spark, folder):
     return I.partial_update(old, new, ["https://events.example.com/fr/1", "https://events.example.com/fr/3"])
 
 
+@query(
+    DOC_CTES
+    + f""", new AS ({_NEW} AND url LIKE 'https://events.example.com/fr/%')
+SELECT * FROM new UNION ALL
+SELECT * FROM ({_OLD}) o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n."objectID" = o."objectID")
+  AND NOT (url LIKE 'https://events.example.com/fr/1%' OR url LIKE 'https://events.example.com/fr/3%')
+"""
+)
+def laid_out_update(spark, folder):
+    """The partial update on an index stored by URL: only the files that meet a prefix or a new id are written again."""
+    old, new = _old_and_new(spark, folder)
+    root = scratch(spark, "by-url")
+    U.write(old, root)
+    new = new.filter(F.startswith("url", F.lit("https://events.example.com/fr/")))
+    U.partial_update(spark, root, new, ["https://events.example.com/fr/1", "https://events.example.com/fr/3"])
+    return U.read(spark, root)
+
+
 @query(
     DOC_CTES
     + """SELECT "objectID", content, hierarchy_lvl0 FROM docs
@@ -740,6 +759,15 @@ def ids_below_url(spark, folder):
     return L.ids_with_prefix(S.event_docs(spark, folder), "https://events.example.com/en/1")
 
 
+@query(DOC_CTES + "SELECT \"objectID\" FROM docs WHERE starts_with(url, 'https://events.example.com/en/1')")
+def laid_out_prefix(spark, folder):
+    """Ids below a URL, read from the files of an index stored by URL whose range meets the prefix."""
+    old, _ = _old_and_new(spark, folder)
+    root = scratch(spark, "by-url")
+    U.write(old, root)
+    return U.read_prefix(spark, root, "https://events.example.com/en/1").select("objectID")
+
+
 @query(DOC_CTES + "SELECT " + ", ".join(f'"{c}"' if c != "lang" else "CAST(NULL AS VARCHAR) AS lang" for c in L.SEARCHABLE) + " FROM docs")
 def searchable_columns(spark, folder):
     return L.searchable(S.event_docs(spark, folder))
