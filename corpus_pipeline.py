@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docrecords.llm import alike, mixing, pii, quality_rules, sentencepiece_stream
+from docrecords.llm import mixing, pii, quality_rules, sentencepiece_stream, simhash
 from docrecords.llm.common import stored, table
 
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return alike.keep_one_alike(docs, SIMILARITY, SHINGLE)
+    """One document of each SimHash component stays: the one with the smallest id (the binary trie self-join of op10)."""
+    return simhash.keep_one(docs, radius=RADIUS, size=SHINGLE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_stream.with_ids(docs)
 
 
-# words of a shingle where no contract says otherwise
-SHINGLE = 5
-# least Jaccard similarity of the shingle sets of near-duplicates
-SIMILARITY = 0.8
+# the SimHash contract: words of a shingle, and most differing bits of linked fingerprints
+SHINGLE = 3
+RADIUS = 2
 
 STAGES = [
     ("quality rules", quality),

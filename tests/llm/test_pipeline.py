@@ -59,7 +59,7 @@ def test_near_duplicates(results):
     fps = np.array([plain_fingerprint(t, corpus_pipeline.SHINGLE) for t in before.text], dtype=np.uint64)
     root = list(range(len(fps)))
     for _ in range(len(fps)):
-        fresh = [min(root[j] for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2)) for i in range(len(fps))]
+        fresh = [min(root[j] for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= corpus_pipeline.RADIUS)) for i in range(len(fps))]
         if fresh == root:
             break
         root = fresh
