@@ -6,16 +6,20 @@ and ``most`` are fitted by least squares so that the expected totals meet the ta
 
 Each step is one sum over all documents, of as many numbers as there are domains. In the metric that weighs a document by
 its tokens and domains by the inverse of their Gram matrix, the step of length 1 is ``r <- clip(r - posterior . g)`` with
-one ``g`` for all; the fit is found in a few steps, and no step reads a text again. Documents are then taken
-``floor(rate + u)`` times with ``u`` from a hash of their id; rates from ``whole`` on count as 1, so that documents at the
-edge of the bound are not thinned out by noise in the classifier.
+one ``g`` for all. Steps go on until the token shares reached are within ``close`` of the target shares (summed over
+domains), or until a step moves the totals by less than that (the least-squares fit is reached while targets stay out of
+reach), or after ``steps`` steps; ``fit_rates`` returns what was asked, what is reachable and what the fit reached, so a
+caller can see the gap. No step reads a text again. Documents are then taken ``floor(rate + u)`` times with ``u`` uniform
+from a hash of their id: unbiased, the expected count is the rate.
 
 The targets are shares of tokens. The total is set by one domain, the anchor, which is used whole (``most`` times). A domain
 that has fewer tokens than its share is used whole too; no other one is thinned out for it.
 
+``mixed`` computes posterior, rate and copies in one pass over the documents, beside their columns: no text is shuffled.
+
 Defined results: null text counts as empty, has no tokens and rate 1. Without labelled rows all domains are equally likely.
-Repeated rows are treated
-alike. An empty table gives an empty one. Extra columns stay.
+Rows that share an id each get the copies of their own text; equal rows get equal numbers. A null id is hashed as null.
+An empty table gives an empty one. Extra columns stay; working columns start with ``_m_``.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from docrecords.llm import hashed
 from docrecords.llm.common import stored, table
@@ -48,8 +53,7 @@ class Mixing:
     batch: int = 128
     rate: float = 0.03
     most: float = 1.0
-    whole: float = 0.75
-    steps: int = 12
+    steps: int = 100
     close: float = 1e-3
 
 
@@ -116,28 +120,33 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, mixing: Mixing) ->
     return fit_softmax(x, y, mixing)
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, mixing: Mixing) -> DataFrame:
-    """``(doc_id, tokens, p)`` of every row, p rounded to 6 places."""
+def with_posteriors(docs: DataFrame, weights: np.ndarray, mixing: Mixing, tokens: str = "_m_tokens", p: str = "_m_p") -> DataFrame:
+    """``docs`` with the tokens of each text and its posterior, rounded to 6 places, as two more columns."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
+    text = docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, GROUP):
                 batch = whole.slice(start, GROUP)
-                x, tokens = inputs(batch.column(1), mixing.buckets)
-                p = np.round(softmax(x, sent.value), 6)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), lists], names=["doc_id", "tokens", "p"])
+                x, n = inputs(batch.column(text), mixing.buckets)
+                q = np.round(softmax(x, sent.value), 6)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(q.ravel(), pa.float64()), q.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), lists], names=[*batch.schema.names, tokens, p])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, tokens long, p array<double>")
+    return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(tokens, LongType()), StructField(p, ArrayType(DoubleType()))]))
 
 
-def rate_after(steps: Sequence[np.ndarray], most: float) -> Column:
+def posteriors(docs: DataFrame, weights: np.ndarray, mixing: Mixing) -> DataFrame:
+    """``(doc_id, tokens, p)`` of every row, p rounded to 6 places."""
+    return with_posteriors(docs.select("doc_id", "text"), weights, mixing, "tokens", "p").select("doc_id", "tokens", "p")
+
+
+def rate_after(steps: Sequence[np.ndarray], most: float, p: str = "p") -> Column:
     """The rate after the given gradient steps, from rate 1."""
     rate = F.lit(1.0)
     for g in steps:
-        move = sum(F.get("p", F.lit(k)) * F.lit(float(v)) for k, v in enumerate(g))
+        move = sum(F.get(p, F.lit(k)) * F.lit(float(v)) for k, v in enumerate(g))
         rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate - move))
     return rate
 
@@ -156,8 +165,13 @@ def wanted(have: np.ndarray, mixing: Mixing) -> np.ndarray:
     return np.minimum(share * total, mixing.most * have)
 
 
+def shares(totals: np.ndarray) -> np.ndarray:
+    return totals / max(totals.sum(), 1e-12)
+
+
 def fit_rates(each: DataFrame, mixing: Mixing) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Gradient steps, the targets, and the totals reached, by domain."""
+    """Gradient steps, the targets (the shares asked of the tokens there are, lowered where a domain has too few), and the
+    totals reached, by domain."""
     k = len(mixing.domains)
     have = totals(each, F.lit(1.0), k)
     target = wanted(have, mixing)
@@ -167,37 +181,49 @@ def fit_rates(each: DataFrame, mixing: Mixing) -> tuple[list[np.ndarray], np.nda
     steps: list[np.ndarray] = []
     reached = have
     for _ in range(mixing.steps):
-        if np.abs(reached - target).sum() <= mixing.close * max(target.sum(), 1.0):
+        if np.abs(shares(reached) - shares(target)).sum() <= mixing.close:
             break
         steps.append(np.round(inverse @ (reached - target), 9))
-        reached = totals(each, rate_after(steps, mixing.most), k)
+        before, reached = reached, totals(each, rate_after(steps, mixing.most), k)
+        if np.abs(reached - before).sum() <= mixing.close * max(target.sum(), 1.0):
+            break
     return steps, target, reached
 
 
-def copies(rate: Column, doc_id: Column, whole: float) -> Column:
-    """How often a document is taken: the rate, rounded by a hash of the id."""
+def rate(steps: Sequence[np.ndarray], mixing: Mixing, tokens: str = "tokens", p: str = "p") -> Column:
+    """The fitted rate of a row, rounded to 6 places; 1 for rows without tokens."""
+    return F.round(F.when(F.col(tokens) > 0, rate_after(steps, mixing.most, p)).otherwise(1.0), 6)
+
+
+def copies(rate: Column, doc_id: Column) -> Column:
+    """How often a document is taken: the rate, rounded up with the chance of its fraction, by a hash of the id."""
     u = F.pmod(F.xxhash64(F.lit("mixing"), doc_id), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return F.when((rate >= whole) & (rate <= 1), 1).otherwise(F.floor(rate + u)).cast("int")
+    return F.floor(rate + u).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, domain: Column | None = None, mixing: Mixing = Mixing()) -> DataFrame:
-    """``(doc_id, tokens, p, rate, copies)`` for every row."""
+def fitted(docs: DataFrame, labels: DataFrame, domain: Column | None, mixing: Mixing) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Classifier weights and rate steps; the posteriors that the fit sums are stored once, without texts."""
     weights = train(docs, labels, label_domain() if domain is None else domain, mixing)
     each = stored(posteriors(docs, weights, mixing), "posteriors")
     steps, _, _ = fit_rates(each, mixing)
-    out = each.withColumn("rate", F.round(F.when(F.col("tokens") > 0, rate_after(steps, mixing.most)).otherwise(1.0), 6))
-    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), mixing.whole))
+    return weights, steps
+
+
+def rates(docs: DataFrame, labels: DataFrame, domain: Column | None = None, mixing: Mixing = Mixing()) -> DataFrame:
+    """``(doc_id, tokens, p, rate, copies)`` for every row."""
+    weights, steps = fitted(docs, labels, domain, mixing)
+    out = posteriors(docs, weights, mixing).withColumn("rate", rate(steps, mixing))
+    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, domain: Column | None = None, mixing: Mixing = Mixing()) -> DataFrame:
-    """``docs`` with every document as often as its rate says."""
-    found = rates(docs, labels, domain, mixing)
-    # equal ids with different texts have rates of their own; the largest holds for all of them
-    by_id = found.groupBy("doc_id").agg(F.max("copies").alias("_m_copies")).filter("_m_copies <> 1").withColumnRenamed("doc_id", "_m_id")
-    out = docs.join(by_id, docs["doc_id"].eqNullSafe(F.col("_m_id")), "left")
-    times = F.coalesce("_m_copies", F.lit(1))
-    out = out.filter(times > 0).withColumn("_m_n", F.explode(F.array_repeat(F.lit(1), times)))
-    return out.select(*[docs[c] for c in docs.columns])
+    """``docs`` with every document as often as its rate says: posterior, rate and copies in one pass beside the columns."""
+    weights, steps = fitted(docs, labels, domain, mixing)
+    out = with_posteriors(docs, weights, mixing)
+    times = copies(rate(steps, mixing, "_m_tokens", "_m_p"), F.col("doc_id"))
+    out = out.withColumn("_m_copies", times).filter("_m_copies > 0")
+    out = out.withColumn("_m_n", F.explode(F.array_repeat(F.lit(1), F.col("_m_copies"))))
+    return out.select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,10 @@ def test_mixing_of_documents(spark):
     toxic, clean = both[both.toxic == 1], both[(both.toxic == 0) & (both.quality == 1)]
     assert toxic.rate.mean() < 0.5 < 0.95 < clean.rate.mean() and (clean.copies == 1).mean() >= 0.98
     assert np.allclose(rows[["p_good", "p_low", "p_toxic"]].sum(axis=1), 1, atol=1e-4)
+    # expected token shares at the fitted rates meet the targets
+    p = rows[["p_good", "p_low", "p_toxic"]].to_numpy()
+    expected = (p * (rows.n_tokens * rows.rate).to_numpy()[:, None]).sum(axis=0)
+    assert np.abs(expected / expected.sum() - np.array(mixing.Mixing().targets)).sum() <= 2 * mixing.Mixing().close
 
 
 def test_mixing_odd_rows(odd, none, labels):

