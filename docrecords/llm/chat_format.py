@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrecords.llm.common import partitions, table
+from docrecords.llm.common import importable, partitions, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
@@ -190,6 +190,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     part = F.floor(F.col("turn") / STRETCH)
     rows = turns.select("conv_id", part.cast("long").alias("part"), "turn", "role", "text")
     rows = rows.repartition(n, "conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text").drop("turn")
+    importable(rows.sparkSession)
     pieces = rows.mapInArrow(stretches, f"conv_id {kind}, part long, seq long, bytes binary, mask array<long>, n_turns long")
     pieces = pieces.repartition(n, "conv_id").sortWithinPartitions("conv_id", "part", "seq")
     return pieces.mapInArrow(joined, f"conv_id {kind}, formatted string, mask array<long>, n_turns long")
@@ -230,6 +231,7 @@ def digests(conversations: DataFrame) -> DataFrame:
 
     kind = conversations.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    importable(conversations.sparkSession)
     return conversations.select("conv_id", "formatted", "mask").mapInArrow(each, schema)
 
 

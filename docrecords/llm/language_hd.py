@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrecords.llm.common import is_held_out, table
+from docrecords.llm.common import importable, is_held_out, table
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -128,6 +128,7 @@ def learn(rows: DataFrame) -> dict[str, np.ndarray]:
                 [pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "profile"]
             )
 
+    importable(rows.sparkSession)
     sums = rows.mapInArrow(each, "lang string, profile array<long>")
     by_place = sums.select("lang", F.posexplode("profile").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
     profiles: dict[str, np.ndarray] = {}
@@ -163,6 +164,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    importable(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, lang_pred string, score double")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrecords.llm.common import partitions, table
+from docrecords.llm.common import importable, partitions, table
 
 KEPT = 128
 # ranges for each partition; more make partitions more alike
@@ -158,6 +158,7 @@ def lz_fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``, with the columns ``NAMES``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    importable(docs.sparkSession)
     return in_ranges(docs).mapInArrow(each_with_next, schema)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrecords.llm import hashed
-from docrecords.llm.common import is_held_out, table
+from docrecords.llm.common import importable, is_held_out, table
 
 GROUP = 128
 
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", machine: M
                     names=["id", "y", "at", "value"],
                 )
 
+    importable(rows.sparkSession)
     found = rows.mapInArrow(each, "id long, y long, at binary, value binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     x = np.zeros((found.num_rows, machine.width), np.float32)
     for r, (at, value) in enumerate(zip(found["at"], found["value"])):
@@ -148,6 +149,7 @@ def scored(docs: DataFrame, model: Fitted, machine: Machine = Machine()) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    importable(docs.sparkSession)
     return docs.select("doc_id", "text", metadata(docs)).mapInArrow(each, f"doc_id {kind}, score double")
 
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrecords.llm.common import partitions, shared_folder, stored, table
+from docrecords.llm.common import importable, partitions, shared_folder, stored, table
 from docrecords.llm.hashed import buffers, mixed, powers
 
 LENGTH = 50
@@ -323,6 +323,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``."""
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
+    importable(docs.sparkSession)
     chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(packed, "chunk long, n long, data binary, ids binary, sizes binary")
     # in buckets, so that answers come to their chunk and no text moves
     path = f"{shared_folder(spark)}/{name}"
