@@ -51,8 +51,8 @@ def test_wrappers_keep_document_order(spark):
 
 
 def test_heading_with_inner_elements(spark):
-    rows = run(spark, '<body><h1><a name="foo">Foo</a><span></span></h1></body>')
-    assert levels(rows[0])[0] == "Foo"
+    rows = run(spark, '<section><h1><code id="k">Trowel</code><br><i></i></h1><p>steel</p></section>')
+    assert levels(rows[0])[0] == "Trowel" and levels(rows[1])[0] == "Trowel"
 
 
 def test_text_nodes_by_xpath(spark):
@@ -232,23 +232,29 @@ def test_anchor_of_content_comes_from_headings(spark):
 
 
 @pytest.mark.parametrize(
-    "rank, url, want", [(1, "http://foo.bar/api", 1), (1, "http://foo.bar/api/test", 1), (-1, "http://foo.bar/api/x", -1), (5, "http://other/", 0)]
+    "rank, url, want",
+    [
+        (3, "https://garden.example/seeds", 3),
+        (3, "https://garden.example/seeds/tomato", 3),
+        (-2, "https://garden.example/seeds/kale", -2),
+        (7, "https://shed.example/", 0),
+    ],
 )
 def test_page_rank_and_tags(spark, rank, url, want):
-    rules = [{"url": "http://foo.bar/api", "page_rank": rank, "tags": ["test"]}]
-    row = run(spark, "<h1>Foo</h1>", url, start_urls=rules)[0]
+    rules = [{"url": "https://garden.example/seeds", "page_rank": rank, "tags": ["seeds"]}]
+    row = run(spark, "<h1>Sowing</h1>", url, start_urls=rules)[0]
     assert row.weight.page_rank == want
-    assert row.tags == (["test"] if want else [])
+    assert row.tags == (["seeds"] if want else [])
 
 
 def test_regex_rule_and_extra_attributes(spark):
     rules = [
-        {"url": "http://foo.bar/.*", "tags": ["test"]},
-        {"url": "http://foo.bar/api", "extra_attributes": {"a": 1, "b": ["x"]}},
+        {"url": "https://garden.example/.*", "tags": ["garden"]},
+        {"url": "https://garden.example/seeds", "extra_attributes": {"season": 2, "beds": ["north"]}},
     ]
-    row = run(spark, "<h1>Foo</h1>", "http://foo.bar/api/test", start_urls=rules)[0]
-    assert row.tags == ["test"]
-    assert row.extras == {"a": "1", "b": '["x"]'}
+    row = run(spark, "<h1>Sowing</h1>", "https://garden.example/seeds/tomato", start_urls=rules)[0]
+    assert row.tags == ["garden"]
+    assert row.extras == {"season": "2", "beds": '["north"]'}
 
 
 def test_strip_chars(spark):
