@@ -17,7 +17,7 @@ from docrecords.operators import lookup as L
 from docrecords.operators import page_attrs as P
 from docrecords.operators import postings as PO
 from docrecords.operators import rule_table as RT
-from docrecords.operators import url_layout as U
+from docrecords.operators import url_layout as UL
 from docrecords.operators import url_rules as R
 from docrecords.operators.decompose import decompose, node_rows, page_links
 from docrecords.operators.select import page_text, select_nids, texts_of
@@ -27,6 +27,7 @@ from docrecords.plans.records import build_records, drop_stop_content, page_attr
 from docrecords.sources.pages import decode_body, decode_pages, spread
 from docrecords.sources.sitemap import crawl_sitemaps, sitemap_urls
 from docrecords.spec import CONTENT, LEVELS, Selector, Spec
+from docrecords.streaming import keyed as KS
 from docrecords.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -710,10 +711,10 @@ def laid_out_update(spark, folder):
     """The partial update on an index stored by URL: only the files that meet a prefix or a new id are written again."""
     old, new = _old_and_new(spark, folder)
     root = scratch(spark, "by-url")
-    U.write(old, root)
+    UL.write(old, root)
     new = new.filter(F.startswith("url", F.lit("https://events.example.com/fr/")))
-    U.partial_update(spark, root, new, ["https://events.example.com/fr/1", "https://events.example.com/fr/3"])
-    return U.read(spark, root)
+    UL.partial_update(spark, root, new, ["https://events.example.com/fr/1", "https://events.example.com/fr/3"])
+    return UL.read(spark, root)
 
 
 @query(
@@ -764,8 +765,8 @@ def laid_out_prefix(spark, folder):
     """Ids below a URL, read from the files of an index stored by URL whose range meets the prefix."""
     old, _ = _old_and_new(spark, folder)
     root = scratch(spark, "by-url")
-    U.write(old, root)
-    return U.read_prefix(spark, root, "https://events.example.com/en/1").select("objectID")
+    UL.write(old, root)
+    return UL.read_prefix(spark, root, "https://events.example.com/en/1").select("objectID")
 
 
 @query(DOC_CTES + "SELECT " + ", ".join(f'"{c}"' if c != "lang" else "CAST(NULL AS VARCHAR) AS lang" for c in L.SEARCHABLE) + " FROM docs")
@@ -1371,12 +1372,13 @@ def streamed_index(spark, folder):
     return page_doc_columns(stream.current_docs(spark, path))
 
 
-@query(
-    f"""
+_FIRST_SEEN = f"""
 SELECT min(page_id) AS page_id, fp FROM (SELECT page_id, sha1('GET' || regexp_replace({_CANON}, '(https?)(.*)', '\\2')) AS fp FROM pages)
 GROUP BY fp
 """
-)
+
+
+@query(_FIRST_SEEN)
 def streamed_first_seen(spark, folder):
     """Pages that pass the streaming deduplication: the first of each fingerprint."""
     path, seen, state = (scratch(spark, f"stream-{n}") for n in ("pages", "seen", "state"))
@@ -1387,3 +1389,13 @@ def streamed_first_seen(spark, folder):
 
     source.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).select("page_id", U.fingerprint(F.col("url")).alias("fp"))
+
+
+@query(_FIRST_SEEN)
+def streamed_first_kept(spark, folder):
+    """The same deduplication with keyed state (a value per fingerprint in the state store), no read of earlier batches."""
+    out, state = scratch(spark, "keyed-pages"), scratch(spark, "keyed-state")
+    source = stream.page_stream(spark, f"{folder}/pages*.parquet").select("page_id", "url")
+    kept = KS.first_seen_keyed(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    kept.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("page_id long, url string, _fp string").parquet(out).select("page_id", U.fingerprint(F.col("url")).alias("fp"))
